@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The private-use block of the basic plane.
-PRIVATE_USE = "[-]"
+PRIVATE_USE = "[\\uE000-\\uF8FF]"
 
 
 def private_chars(c: Column) -> Column:

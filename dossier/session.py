@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +37,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder so later branches do not recompute it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def stage(df: DataFrame) -> DataFrame:
+    """Write a table into the shared checkpoint folder and read it back.
+
+    Later branches read it with column pruning instead of recomputing it, and a lost
+    executor costs nothing that is already written.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
