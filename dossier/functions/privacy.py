@@ -101,14 +101,17 @@ def redact(df: DataFrame, text: str, clean: str = "clean_text", kinds: str = "ki
 def redact_value(c: Column) -> Column:
     """struct(text, kinds) of one short value; meant for list items and small fields."""
     state = F.struct(F.coalesce(c, F.lit("")).alias("t"), F.expr(EMPTY_TEXTS).alias("k"))
-    for kind, pattern in IDENTIFIERS:
 
-        def stage(s: Column, kind: str = kind, pattern: str = pattern) -> Column:
+    def stage(kind: str, pattern: str):
+        def apply(s: Column) -> Column:
             t = F.regexp_replace(s["t"], unicode(pattern), " ")
             k = F.when(s["t"].rlike(unicode(pattern)), F.concat(s["k"], F.array(F.lit(kind)))).otherwise(s["k"])
             return F.struct(t.alias("t"), k.alias("k"))
 
-        state = bind(state, stage)
+        return apply
+
+    for kind, pattern in IDENTIFIERS:
+        state = bind(state, stage(kind, pattern))
     return bind(state, lambda s: F.struct(collapse(s["t"]).alias("text"), s["k"].alias("kinds")))
 
 

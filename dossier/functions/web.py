@@ -179,8 +179,10 @@ def page_text(html: Column, tags: tuple[str, ...] = TEXT_TAGS) -> Column:
     t = F.regexp_replace(t, f"(?i)<(?:{names})(?:\\s[^>]*)?>", "\x01")
     t = F.regexp_replace(t, f"(?i)</(?:{names})\\s*>", "\x02")
     t = F.regexp_replace(t, "(?s)<[^>]*>", " ")
-    blocks = F.slice(F.split(t, "\x01"), 2, 2147483647)
-    own = F.transform(blocks, lambda b: strip(unescape(F.substring_index(b, "\x02", 1))))
+    own = F.transform(
+        F.split(t, "\x01"),
+        lambda b, i: F.when(i > 0, strip(unescape(F.substring_index(b, "\x02", 1)))).otherwise(F.lit("")),
+    )
     return strip(F.regexp_replace(F.array_join(F.filter(own, lambda b: b != ""), " "), WS + "+", " "))
 
 

@@ -151,7 +151,7 @@ def alternative_fields(spark, d):
     "H26 W9",
     f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
     t as (select doc_id, pos, {strip("raw")} as raw from l),
-    u as (select doc_id, pos, case when {wc('raw')} <= 4 then upper(rtrim(raw, '.,!?')) else raw end as t from t),
+    u as (select doc_id, pos, case when {wc('raw')} <= 4 and not contains(raw, 'ß') then upper(rtrim(raw, '.,!?')) else raw end as t from t),
     k as (select *, t = upper(t) and t <> lower(t) and {wc('t')} between 1 and 4 and not regexp_matches(t, '[0-9.:;/]')
         and not contains(t, 'TABLE') and not contains(t, 'FIGURE') and not contains(t, 'KEY POINTS') and not contains(t, 'APPROACH TO')
         and not contains(t, 'GENERAL CONSIDERATIONS') and not contains(t, 'DIFFERENTIAL DIAGNOSIS') and not contains(t, 'ESSENTIAL INQUIRIES') as h from u where t <> ''),
@@ -163,7 +163,7 @@ def heading_records(spark, d):
     from dossier.operators.layout import record_lines
 
     lines = F.transform(F.split("text", "\n"), tx.strip)
-    raised = F.transform(lines, lambda s: F.when(tx.word_count(s) <= 4, F.upper(F.rtrim(s, F.lit(".,!?")))).otherwise(s))
+    raised = F.transform(lines, lambda s: F.when((tx.word_count(s) <= 4) & ~s.contains("ß"), F.upper(F.rtrim(s, F.lit(".,!?")))).otherwise(s))
     r = _docs(spark, d).select("doc_id", F.explode(record_lines(raised, tx.is_record_heading)).alias("r"))
     return r.select("doc_id", "r.heading", F.md5("r.body").alias("body"))
 
@@ -194,7 +194,8 @@ kept as (select * from parts where wc > 0),
 a1 as (select *, lag(section) over (partition by chapter order by seq, pos) as ps from kept),
 a2 as (select *, sum((ps is null or ps <> section)::int) over (partition by chapter order by seq, pos) as island,
               sum((ps is null or ps <> section or wc >= 50)::int) over (partition by chapter order by seq, pos) as head from a1),
-hd as (select chapter, island, head, sum(wc) as words, row_number() over (partition by chapter, island order by head) as hn from a2 group by all),
+hd0 as (select chapter, island, head, sum(wc) as words from a2 group by all),
+hd as (select *, row_number() over (partition by chapter, island order by head) as hn from hd0),
 tgt as (select h2.chapter, h2.head, h1.head as into_head from hd h1 join hd h2 on h1.chapter = h2.chapter and h1.island = h2.island
         and h1.hn = 1 and h2.hn = 2 and h1.words < 50),
 fin as (select a2.*, coalesce(tgt.into_head, a2.head) as gid from a2 left join tgt on tgt.chapter = a2.chapter and tgt.head = a2.head),
