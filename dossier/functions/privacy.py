@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.text import EMPTY_TEXTS, WS, bind, strip
+from dossier.functions.text import EMPTY_TEXTS, WS, WS_CHARS, bind, strip
 
 # Identifier kinds and their patterns, applied in this order.
 IDENTIFIERS = (
@@ -133,39 +133,40 @@ def sanitise_context(df: DataFrame, context: str = "context", lists: tuple[str,
 
     Adds ``safe`` (map of kept scalars), ``safe_<list>`` columns, ``removed`` and ``kept``.
     """
-    ctx = F.transform_keys(F.col(context), lambda k, _: F.lower(k))
-    out = df.withColumn("_ctx", ctx)
+    texts = F.expr(EMPTY_TEXTS)
+    low = df.withColumn("_ctx", F.transform_keys(F.col(context), lambda k, _: F.lower(k)))
     m = F.col("_ctx")
-    out = out.withColumn("_sex", redact_value(m["sex"])).withColumn("_preg", redact_value(m["pregnancy_status"]))
-    for name in lists:
-        out = out.withColumn(f"_l_{name}", F.transform(F.coalesce(F.col(name), F.expr(EMPTY_TEXTS)), redact_value))
-        out = out.withColumn(
-            f"safe_{name}", F.filter(F.transform(F.col(f"_l_{name}"), lambda x: x["text"]), lambda x: x != "")
-        )
-    band = age_band(m["age"])
-    immune = F.when(m["immunocompromised"].isin("true", "false"), m["immunocompromised"])
+
+    # Scalars and list items go through one redaction, tagged with their field.
+    def tagged(field: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, texts), lambda v: F.struct(F.lit(field).alias("f"), v.alias("v")))
+
+    fields = [(n, F.col(n)) for n in lists] + [(k, F.array_compact(F.array(m[k]))) for k in ("sex", "pregnancy_status")]
+    items = F.concat(*[tagged(n, values) for n, values in fields])
+    red = low.withColumn("_r", F.transform(items, lambda x: F.struct(x["f"].alias("f"), redact_value(x["v"]).alias("r"))))
+
+    def cleaned(field: str) -> Column:
+        mine = F.filter("_r", lambda x: (x["f"] == field) & (x["r"]["text"] != ""))
+        return F.transform(mine, lambda x: x["r"]["text"])
+
     scalars = {
-        "age_range": band,
-        "sex": F.nullif(F.lower(F.col("_sex")["text"]), F.lit("")),
-        "pregnancy_status": F.nullif(F.lower(F.col("_preg")["text"]), F.lit("")),
-        "immunocompromised": immune,
+        "age_range": age_band(m["age"]),
+        "sex": F.lower(F.get(cleaned("sex"), F.lit(0))),
+        "pregnancy_status": F.lower(F.get(cleaned("pregnancy_status"), F.lit(0))),
+        "immunocompromised": F.when(m["immunocompromised"].isin("true", "false"), m["immunocompromised"]),
     }
     entries = [F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in scalars.items()]
-    out = out.withColumn("safe", F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull())))
-    foreign = F.map_keys(
-        F.map_filter(m, lambda k, v: ~k.isin(*ALLOWED_KEYS) & (F.coalesce(v, F.lit("")) != ""))
-    )
-    exact_age = F.when(F.map_contains_key(m, F.lit("age")), F.array(F.lit("exact_age"))).otherwise(F.expr(EMPTY_TEXTS))
-    marked = [F.flatten(F.transform(F.col(f"_l_{n}"), lambda x: x["kinds"])) for n in lists]
-    out = out.withColumn(
-        "removed",
-        F.array_sort(F.array_distinct(F.concat(foreign, exact_age, F.col("_sex")["kinds"], F.col("_preg")["kinds"], *marked))),
-    )
+    foreign = F.map_keys(F.map_filter(m, lambda k, v: ~k.isin(*ALLOWED_KEYS) & (F.coalesce(v, F.lit("")) != "")))
+    exact_age = F.when(F.map_contains_key(m, F.lit("age")), F.array(F.lit("exact_age"))).otherwise(texts)
+    removed = F.concat(foreign, exact_age, F.flatten(F.transform("_r", lambda x: x["r"]["kinds"])))
+    stage2 = {f"safe_{n}": cleaned(n) for n in lists}
+    stage2["safe"] = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+    stage2["removed"] = F.array_sort(F.array_distinct(removed))
+    safe = red.withColumns(stage2).drop("_ctx", "_r")
     kept_lists = [F.when(F.size(f"safe_{n}") > 0, F.lit(n)) for n in lists]
-    out = out.withColumn(
+    return safe.withColumn(
         "kept", F.array_sort(F.array_distinct(F.concat(F.map_keys("safe"), F.array_compact(F.array(*kept_lists)))))
     )
-    return out.drop("_ctx", "_sex", "_preg", *[f"_l_{n}" for n in lists])
 
 
 def search_string(terms: Column) -> Column:
@@ -184,14 +185,11 @@ def search_string(terms: Column) -> Column:
             F.when(fresh, F.lit("updated")),
             F.lit(" ".join(TRUSTED_HINTS)),
         )
-        return collapse(F.regexp_replace(parts, f"[^A-Za-z0-9{WS_INNER}\\-]", " "))
+        return collapse(F.regexp_replace(parts, f"[^A-Za-z0-9{WS_CHARS}\\-]", " "))
 
     return bind(F.array_join(F.filter(terms, lambda t: t.isNotNull() & (t != "")), " "), build)
 
 
-WS_INNER = WS[1:-1]
-
-
 def query_is_private(c: Column) -> Column:
     leak = F.lit(False)
     for p in LEAK_PATTERNS:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import WS, bind, strip
+from dossier.functions.text import WS, WS_CHARS, bind, strip
 
 # Urgency synonyms.
 URGENCY = {
@@ -32,7 +32,7 @@ def _match_or_null(c: Column, pattern: str, group: int) -> Column:
 def primary_line(report: Column) -> Column:
     """First content line under the primary heading, else the first 80 characters."""
     tail = _match_or_null(report, f"(?is)^(?:.*?\n)?{WS}*{_HEAD}[^\n]*\n(.*)$", 1)
-    line = _match_or_null(tail, f"(?i)^(?:{WS}*{_HEAD}[^\n]*\n)*{WS}*([^#{WS[1:-1]}][^\n]*)", 1)
+    line = _match_or_null(tail, f"(?i)^(?:{WS}*{_HEAD}[^\n]*\n)*{WS}*([^#{WS_CHARS}][^\n]*)", 1)
     found = strip(F.substring_index(F.ltrim(strip(line), F.lit("- *")), "(", 1))
     fallback = strip(F.replace(F.substring(report, 1, 80), F.lit("\n"), F.lit(" ")))
     return (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # The characters that count as white space when splitting words.
 WS_CHARS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
 WS_CHARS += "\u2028\u2029\u202f\u205f\u3000"
-WS = "[" + WS_CHARS + "]"
+WS = "(?U:[\\s\\x1c-\\x1f])"
 
 # Chunk size limits in words.
 MIN_WORDS = 50

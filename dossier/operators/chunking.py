@@ -48,7 +48,7 @@ def forward_merge(sections: DataFrame, min_words: int = MIN_WORDS, keep_essentia
     dropped unless ``keep_essentials``.
     """
     base = sections.withColumn("text", strip(F.col("text")))
-    own = word_count(F.col("text"))
+    own = F.col("word_count")
     flags = stage(base.select("chapter", "section", "seq", ((own > 0) & (own < min_words)).alias("short")))
     prev = prefix_scan(flags, ["chapter"], "seq", {"prev": ("last", F.struct("section", "short"))}, exclusive=True)
     opens = F.col("prev").isNull() | (F.col("prev.section") != F.col("section")) | ~F.col("prev.short")
@@ -56,6 +56,7 @@ def forward_merge(sections: DataFrame, min_words: int = MIN_WORDS, keep_essentia
         prev.withColumn("opens", opens), ["chapter"], "seq", {"gid": ("max", F.when(F.col("opens"), F.col("seq")))}
     ).select("chapter", "seq", "gid", "short")
     carried = ["source", "section", "subsection", "chapter_page_start", "has_essentials_box", "essentials_text"]
+    ess = [strip(_joined(F.coalesce("essentials_text", F.lit("")), F.col("seq"), "\n\n")).alias("all_essentials")]
     out = (
         base.join(ids, ["chapter", "seq"])
         .groupBy("chapter", "gid")
@@ -65,14 +66,15 @@ def forward_merge(sections: DataFrame, min_words: int = MIN_WORDS, keep_essentia
             F.count("*").alias("merged_rows"),
             F.struct(F.min("page_range.lo").alias("lo"), F.max("page_range.hi").alias("hi")).alias("page_range"),
             strip(_joined(F.col("text"), F.col("seq"), "\n\n")).alias("text"),
-            strip(_joined(F.coalesce("essentials_text", F.lit("")), F.col("seq"), "\n\n")).alias("all_essentials"),
+            F.sum("word_count").cast("int").alias("word_count"),
+            *(ess if keep_essentials else []),
         )
     )
     out = out.select(
-        "chapter", "seq", "page_range", "text", "merged_rows", "all_essentials",
+        "chapter", "seq", "page_range", "text", "word_count", "merged_rows", *(["all_essentials"] if keep_essentials else []),
         *[F.col(f"head.{c}").alias(c) for c in carried],
         F.col("head.short").alias("kept_short"),
-    ).withColumn("word_count", word_count(F.col("text")))
+    )
     if keep_essentials:
         out = out.withColumn("essentials_text", F.col("all_essentials")).withColumn(
             "has_essentials_box", F.col("all_essentials") != ""

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,10 +251,6 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 def sequence_ratio():
     """Arrow form of the longest-matching-block ratio on trimmed lower-case text."""
-    from difflib import SequenceMatcher
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(

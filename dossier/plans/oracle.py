@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dossier.functions.text import WS, WS_CHARS
+from dossier.functions.text import WS_CHARS
+
+WS = "[" + WS_CHARS + "]"
 
 
 def strip(x: str) -> str:

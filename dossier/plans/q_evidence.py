@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from dossier.functions import privacy, web
 from dossier.functions.text import strip
 from dossier.operators import evidence, experiments
-from dossier.plans.oracle import sentences
+from dossier.plans.oracle import WS, sentences
 from dossier.plans.oracle import strip as o_strip
 from dossier.plans.registry import query
-from dossier.functions.text import WS
 from dossier.sources.readers import read_table
 
 YEAR = 2025

@@ -180,11 +180,24 @@ merged as (
   from grp group by chapter, g)"""
 
 _PARTS = f"""{_FWD},
+longs as (select chapter, section, seq, lo, hi, list_filter(list_transform(regexp_split_to_array(text, '\n{{2,}}'), lambda z: {strip('z')}), lambda z: z <> '') as ps from merged where {wc('text')} > 500),
+par as (select chapter, seq, unnest(ps) as t, unnest(range(1, len(ps) + 1)) as i from longs),
+pn as (select *, {wc('t')} as n from par),
+pk as (
+  select chapter, seq, i, t, n, 0 as g, n as run from pn where i = 1
+  union all
+  select pn.chapter, pn.seq, pn.i, pn.t, pn.n,
+    case when pn.n > 500 or pk.n > 500 or pk.run + pn.n > 500 then pk.g + 1 else pk.g end,
+    case when pn.n > 500 then 0 when pk.n > 500 or pk.run + pn.n > 500 then pn.n else pk.run + pn.n end
+  from pk join pn on pn.chapter = pk.chapter and pn.seq = pk.seq and pn.i = pk.i + 1),
+packs as (select chapter, seq, g, string_agg(t, ' ' order by i) as t from pk group by all),
+cut as (select chapter, seq, g, 0 as s, t from packs where {wc('t')} <= 500
+  union all select chapter, seq, g, s, list_aggregate(w[s * 500 + 1 : s * 500 + 500], 'string_agg', ' ') from (
+    select *, unnest(range((len(w) + 499) // 500)) as s from (select *, {words('t')} as w from packs where {wc('t')} > 500))),
 p0 as (
   select chapter, section, 'Essentials of Diagnosis' as subsection, seq, 0 as pos, lo, hi, {strip('ess')} as text from merged where {strip('ess')} <> ''
   union all
-  select chapter, section, '', seq, 1 + s, lo, hi, list_aggregate(w[s * 500 + 1 : s * 500 + 500], 'string_agg', ' ') from (
-    select *, unnest(range((len(w) + 499) // 500)) as s from (select *, {words('text')} as w from merged)) where len(w) > 500
+  select l.chapter, l.section, '', l.seq, row_number() over (partition by l.chapter, l.seq order by g, s), l.lo, l.hi, c.t from longs l join cut c on c.chapter = l.chapter and c.seq = l.seq
   union all
   select chapter, section, '', seq, 1, lo, hi, text from merged where {wc('text')} between 1 and 500),
 parts as (select *, {wc('text')} as wc, row_number() over (partition by chapter, section, subsection order by seq, pos) as n from p0)"""
@@ -211,16 +224,17 @@ _CHUNK_ID = f"'corpus::' || {slug('chapter')} || '::' || {slug('section')} || ':
 
 @query(
     "H9 W2 P1",
-    f"with {_FWD} select chapter, seq, section, lo, hi, merged_rows, kept_short, {wc('text')} as words, md5(text) as digest from merged",
+    f"with {_FWD.replace('d.source as section', 'd.lang as section')} select chapter, seq, section, lo, hi, merged_rows, kept_short, {wc('text')} as words, md5(text) as digest from merged",
 )
 def forward_merge(spark, d):
-    m = ch.forward_merge(ch.drop_empty(adapters.sections(spark, d)))
+    """Sections share their chapter's name here, so a chapter is one long island."""
+    m = ch.forward_merge(ch.drop_empty(adapters.sections(spark, d).withColumn("section", F.col("chapter"))))
     return m.select("chapter", "seq", "section", "page_range.lo", "page_range.hi", "merged_rows", "kept_short", F.col("word_count").alias("words"), F.md5("text").alias("digest"))
 
 
 @query(
     "D2 H8 W1 H3",
-    f"with {_PARTS} select {_CHUNK_ID} as chunk_id, seq, wc as words, md5(text) as digest from parts",
+    f"with recursive {_PARTS} select {_CHUNK_ID} as chunk_id, seq, wc as words, md5(text) as digest from parts",
 )
 def chunk_ids(spark, d):
     from dossier.session import stage
@@ -233,7 +247,7 @@ def chunk_ids(spark, d):
 
 @query(
     "H10 W2 P2 P3 H3 W1",
-    f"with {_LATE} select {_CHUNK_ID} as chunk_id, chapter, section, subsection, lo, hi, wc as words, md5(text) as digest from chunks",
+    f"with recursive {_LATE} select {_CHUNK_ID} as chunk_id, chapter, section, subsection, lo, hi, wc as words, md5(text) as digest from chunks",
 )
 def chunk_structured(spark, d):
     c = ch.structured_chunks(adapters.sections(spark, d))
@@ -259,7 +273,7 @@ def chunk_sliding(spark, d):
 
 @query(
     "A1",
-    f"""with {_LATE} select count(*) as n, min(wc) as min_words, max(wc) as max_words, round(avg(wc), 4) as mean_words,
+    f"""with recursive {_LATE} select count(*) as n, min(wc) as min_words, max(wc) as max_words, round(avg(wc), 4) as mean_words,
       median(wc) as median_words, round(stddev_samp(wc), 4) as stdev_words from chunks""",
 )
 def wc_stats(spark, d):
@@ -275,6 +289,16 @@ def _hist(source: str, buckets) -> str:
     return " union all ".join(rows)
 
 
+@query(
+    "H10 H9 W2",
+    f"with recursive {_LATE.replace('d.source as section', 'd.lang as section')} select {_CHUNK_ID} as chunk_id, chapter, lo, hi, wc as words, md5(text) as digest from chunks",
+)
+def chunk_late_merge(spark, d):
+    """The whole build with one section per chapter: long islands, many merges."""
+    c = ch.structured_chunks(adapters.sections(spark, d).withColumn("section", F.col("chapter")))
+    return c.select("chunk_id", "chapter", "page_range.lo", "page_range.hi", F.col("word_count").alias("words"), F.md5("text").alias("digest"))
+
+
 @query("A2", f"with {SECTIONS} {_hist('sections', ch.CHUNK_BUCKETS)}")
 def wc_hist_chunks(spark, d):
     return ch.word_count_histogram(adapters.sections(spark, d))

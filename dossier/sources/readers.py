@@ -9,9 +9,26 @@ from dossier.functions.text import first_non_empty, strip
 from dossier.schemas import TABLES
 
 
+SPREAD_BELOW = 256 << 20
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out over all cores.
+
+    One small file often holds one row group and so feeds one task, however heavy the text work on
+    its rows is. Tables above the limit already come in many splits and are left alone: no shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BELOW:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A supplied parquet table, read with its declared schema (no inference pass over the files)."""
-    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    df = spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
