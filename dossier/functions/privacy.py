@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.text import EMPTY_TEXTS, WS, WS_CHARS, bind, strip
+from dossier.functions.text import EMPTY_TEXTS, WS, WS_CHARS, bind, contains_any, strip
 
 # Identifier kinds and their patterns, applied in this order.
 IDENTIFIERS = (
@@ -173,11 +173,8 @@ def search_string(terms: Column) -> Column:
     """Terms plus the additives their words ask for, reduced to letters, digits and hyphens."""
 
     def build(raw: Column) -> Column:
-        low = F.lower(raw)
-        asked = F.lit(False)
-        for t in GUIDELINE_TRIGGERS:
-            asked = asked | low.contains(t)
-        fresh = low.contains("latest") | low.contains("updated")
+        asked = contains_any(F.lower(raw), GUIDELINE_TRIGGERS)
+        fresh = contains_any(F.lower(raw), ("latest", "updated"))
         parts = F.concat_ws(
             " ",
             raw,
@@ -205,11 +202,7 @@ def is_unsafe(c: Column) -> Column:
 
 
 def has_review_wording(c: Column) -> Column:
-    low = F.lower(c)
-    hit = F.lit(False)
-    for p in REVIEW_PHRASES:
-        hit = hit | low.contains(p)
-    return hit
+    return contains_any(F.lower(c), REVIEW_PHRASES)
 
 
 def safety_penalty(c: Column) -> Column:

@@ -5,6 +5,8 @@ Every function maps Columns to Columns and stays inside the JVM.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -175,10 +177,13 @@ def first_non_empty(*cols: Column) -> Column:
 
 
 def contains_any(c: Column, phrases: tuple[str, ...]) -> Column:
-    hit = F.lit(False)
-    for p in phrases:
-        hit = hit | c.contains(p)
-    return hit
+    """True when any phrase occurs; one pass over the text, which is evaluated once."""
+    return c.rlike("|".join(re.sub(r"([^\w\s])", r"\\\1", p) for p in phrases))
+
+
+def count_contained(terms: Column, text: Column) -> Column:
+    """How many of the terms occur in the lower-cased text, which is prepared once per row."""
+    return bind(F.lower(text), lambda low: F.size(F.filter(terms, lambda t: low.contains(t))))
 
 
 def token_estimate(c: Column) -> Column:

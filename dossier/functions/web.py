@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import WS, bind, contains_any, strip
+from dossier.functions.text import WS, bind, contains_any, count_contained, strip
 
 # Trust tiers by domain suffix.
 TIER_DOMAINS = {
@@ -133,11 +133,10 @@ def query_terms(query: Column) -> Column:
 
 
 def relevance(query: Column, text: Column) -> Column:
-    low = F.lower(text)
     return bind(
         query_terms(query),
         lambda ts: F.when(F.size(ts) == 0, F.lit(0.0)).otherwise(
-            F.size(F.filter(ts, lambda t: low.contains(t))) / F.size(ts) * F.lit(RELEVANCE_WEIGHT)
+            count_contained(ts, text) / F.size(ts) * F.lit(RELEVANCE_WEIGHT)
         ),
     )
 

@@ -21,7 +21,7 @@ from dossier.functions.text import (
     word_count,
     words,
 )
-from dossier.operators.scans import compose_order, prefix_scan
+from dossier.operators.scans import compose_order, fits_one_block, prefix_scan
 from dossier.session import stage
 
 ESSENTIALS = "Essentials of Diagnosis"
@@ -50,10 +50,14 @@ def forward_merge(sections: DataFrame, min_words: int = MIN_WORDS, keep_essentia
     base = sections.withColumn("text", strip(F.col("text")))
     own = F.col("word_count")
     flags = stage(base.select("chapter", "section", "seq", ((own > 0) & (own < min_words)).alias("short")))
-    prev = prefix_scan(flags, ["chapter"], "seq", {"prev": ("last", F.struct("section", "short"))}, exclusive=True)
+    small = fits_one_block(flags, "seq")
+    prev = prefix_scan(
+        flags, ["chapter"], "seq", {"prev": ("last", F.struct("section", "short"))}, exclusive=True, single_block=small
+    )
     opens = F.col("prev").isNull() | (F.col("prev.section") != F.col("section")) | ~F.col("prev.short")
     ids = prefix_scan(
-        prev.withColumn("opens", opens), ["chapter"], "seq", {"gid": ("max", F.when(F.col("opens"), F.col("seq")))}
+        prev.withColumn("opens", opens), ["chapter"], "seq", {"gid": ("max", F.when(F.col("opens"), F.col("seq")))},
+        single_block=small,
     ).select("chapter", "seq", "gid", "short")
     carried = ["source", "section", "subsection", "chapter_page_start", "has_essentials_box", "essentials_text"]
     ess = [strip(_joined(F.coalesce("essentials_text", F.lit("")), F.col("seq"), "\n\n")).alias("all_essentials")]
@@ -114,7 +118,8 @@ def number_parts(parts: DataFrame) -> DataFrame:
     """(ord, n): running number per chapter, section and subsection in emission order."""
     narrow = parts.select("chapter", "section", "subsection", "ord")
     return prefix_scan(
-        narrow, ["chapter", "section", "subsection"], "ord", {"n": ("sum", F.lit(1))}, block_bits=PART_BITS + 16
+        narrow, ["chapter", "section", "subsection"], "ord", {"n": ("sum", F.lit(1))}, block_bits=PART_BITS + 16,
+        single_block=fits_one_block(parts, "ord", PART_BITS + 16),
     ).select("chapter", "ord", "n")
 
 
@@ -123,14 +128,17 @@ def late_merge_ids(parts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     leading run still under the minimum joins the next one. ``head`` starts the first-pass group."""
     narrow = parts.select("chapter", "section", "ord", "word_count")
     bits = PART_BITS + 16
-    prev = prefix_scan(narrow, ["chapter"], "ord", {"prev": ("last", F.col("section"))}, exclusive=True, block_bits=bits)
+    small = fits_one_block(parts, "ord", bits)
+    prev = prefix_scan(
+        narrow, ["chapter"], "ord", {"prev": ("last", F.col("section"))}, exclusive=True, block_bits=bits, single_block=small
+    )
     opens = F.col("prev").isNull() | (F.col("prev") != F.col("section"))
     heads = opens | (F.col("word_count") >= min_words)
     grouped = stage(
         prefix_scan(
             prev.withColumn("opens", opens).withColumn("heads", heads), ["chapter"], "ord",
             {"head": ("max", F.when(F.col("heads"), F.col("ord"))), "island": ("max", F.when(F.col("opens"), F.col("ord")))},
-            block_bits=bits,
+            block_bits=bits, single_block=small,
         ).select("chapter", "ord", "word_count", "head", "island")
     )
     lead = grouped.groupBy("chapter", "island").agg(
@@ -202,7 +210,9 @@ def sliding_chunks(sections: DataFrame, size: int = WINDOW_WORDS, stride: int =
     full = F.concat(F.lit("["), F.col("chapter"), F.lit(" / "), F.col("section"), F.lit("]\n"), strip(F.col("text")))
     texts = sections.filter(~blank(F.col("text"))).select("seq", "chapter", "section", full.alias("full"))
     counts = stage(texts.select("seq", word_count(F.col("full")).cast("long").alias("n")))
-    offsets = prefix_scan(counts, [], "seq", {"off": ("sum", F.col("n"))}, exclusive=True)
+    offsets = prefix_scan(
+        counts, [], "seq", {"off": ("sum", F.col("n"))}, exclusive=True, single_block=fits_one_block(counts, "seq")
+    )
     first = F.greatest(F.lit(0), F.ceil((F.col("off") - (size - 1)) / stride)).cast("long")
     last = F.floor((F.col("off") + F.col("n") - 1) / stride).cast("long")
     slices = (

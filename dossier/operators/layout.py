@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.glyphs import repair, residual_codes
 from dossier.functions.text import strip, word_count
-from dossier.operators.scans import prefix_scan
+from dossier.operators.scans import fits_one_block, prefix_scan
 from dossier.session import stage
 
 # Font sets of the page design.
@@ -131,7 +131,8 @@ def track_sections(elements: DataFrame) -> DataFrame:
     ops = {"seg": "sum", "section": "last", "subsection": "last", "page_start": "last", "bodies": "sum"}
     marked = stage(seen.withColumn("resets", resets).drop("_content", "_bound"))
     tracked = prefix_scan(
-        marked, ["chapter"], "ord", {f"{k}_before": (op, own[k]) for k, op in ops.items()}, exclusive=True
+        marked, ["chapter"], "ord", {f"{k}_before": (op, own[k]) for k, op in ops.items()}, exclusive=True,
+        single_block=fits_one_block(marked, "ord"),
     )
     defaults = {"section": F.col("chapter"), "subsection": F.lit(""), "page_start": F.col("chapter_start")}
     for k, op in ops.items():

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions.text import count_contained
+
 # Prices per million tokens (input, output).
 PRICES = {"gpt-5.4-mini": (0.75, 4.50), "gpt-5.4": (2.50, 10.00)}
 QUANTILE_ACCURACY = 10000
@@ -218,8 +220,7 @@ def token_cost(results: DataFrame, prices: DataFrame) -> DataFrame:
 
 def coverage_share(words: Column, text: Column) -> Column:
     """Share of words contained in the text; null without words."""
-    low = F.lower(text)
-    return F.try_divide(F.size(F.filter(words, lambda w: low.contains(w))), F.size(words))
+    return F.try_divide(count_contained(words, text), F.size(words))
 
 
 def keyword_recall(cases: DataFrame, retrieved: DataFrame, threshold: float = 0.4, distinct: bool = True, min_length: int = 0) -> DataFrame:

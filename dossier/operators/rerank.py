@@ -8,15 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.functions.text import bind, count_contained
 from dossier.functions.web import query_terms
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:
     """Default scorer: share of distinct query terms contained in the text, 6 decimals."""
-    terms = query_terms(query)
-    low = F.lower(text)
-    found = F.size(F.filter(terms, lambda t: low.contains(t)))
-    return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.round(found / F.size(terms), 6))
+    return bind(
+        query_terms(query),
+        lambda ts: F.when(F.size(ts) == 0, F.lit(0.0)).otherwise(F.round(count_contained(ts, text) / F.size(ts), 6)),
+    )
 
 
 def batch_scorer(predict: Callable[[pd.Series, pd.Series], pd.Series]):

@@ -43,11 +43,13 @@ def prefix_scan(
     specs: dict[str, tuple[str, Column]],
     exclusive: bool = False,
     block_bits: int = BLOCK_BITS,
+    single_block: bool = False,
 ) -> DataFrame:
     """Add one running column per spec: name -> (op, value) with op sum, max, min or last.
 
-    ``order`` is a bigint, unique within the keys; keys must not be null. Rows up to the current
-    one count; with ``exclusive`` only the rows before it.
+    ``order`` is a bigint, unique within the keys; keys must not be null. Rows up to the current one
+    count; with ``exclusive`` only the rows before it. ``single_block`` skips the carry when the
+    caller has checked that all rows share one block (see fits_one_block).
     """
     keys = list(keys)
     blk = "_blk"
@@ -57,6 +59,9 @@ def prefix_scan(
     upto = -1 if exclusive else Window.currentRow
     inside = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, upto)
     local = staged.select("*", *[_running(op, F.col(f"_v_{n}")).over(inside).alias(f"_l_{n}") for n, (op, _) in specs.items()])
+    if single_block:
+        zero = {n: F.coalesce(F.col(f"_l_{n}"), F.lit(0)) if op == "sum" else F.col(f"_l_{n}") for n, (op, _) in specs.items()}
+        return local.select(*[F.col(c) for c in df.columns], *[c.alias(n) for n, c in zero.items()])
     totals = staged.groupBy(*keys, blk).agg(
         *[_total(op, F.col(f"_v_{n}"), F.col(order)).alias(f"_t_{n}") for n, (op, _) in specs.items()]
     )
@@ -71,6 +76,12 @@ def prefix_scan(
     )
 
 
+def fits_one_block(staged: DataFrame, order: str, block_bits: int = BLOCK_BITS) -> bool:
+    """Whether a written table is small enough for one block; reads only the order column."""
+    lo, hi = staged.agg(F.min(order), F.max(order)).first()
+    return lo is None or lo >> block_bits == hi >> block_bits
+
+
 def compose_order(major: Column, minor: Column, minor_bits: int = 20) -> Column:
     """One sortable bigint out of (row number, position inside the row)."""
     return F.shiftleft(major.cast("long"), minor_bits) + minor.cast("long")

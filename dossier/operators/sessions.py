@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.functions.reports import urgency_name, urgency_rank
-from dossier.operators.scans import prefix_scan
+from dossier.operators.scans import fits_one_block, prefix_scan
 from dossier.session import stage
 
 TTL_MINUTES = 30
@@ -26,7 +26,10 @@ def expire_sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", min
     seen = prefix_scan(e, [key], "us", {"prev": ("max", F.col("us"))}, exclusive=True, block_bits=TIME_BITS)
     opens = F.col("prev").isNull() | (F.col("us") - F.col("prev") > minutes * 60 * 1_000_000)
     marked = stage(seen.withColumn("opens", opens))
-    tagged = prefix_scan(marked, [key], "us", {"start": ("max", F.when(F.col("opens"), F.col("us")))}, block_bits=TIME_BITS)
+    tagged = prefix_scan(
+        marked, [key], "us", {"start": ("max", F.when(F.col("opens"), F.col("us")))},
+        block_bits=TIME_BITS, single_block=fits_one_block(marked, "us", TIME_BITS),
+    )
     s = tagged.groupBy(key, "start").agg(F.max("us").alias("last"), F.count("*").alias("events"))
     return s.select(
         key, F.timestamp_micros("start").alias("session_start"), F.timestamp_micros("last").alias("last_active"), "events"

@@ -253,10 +253,9 @@ def outline_levels(spark, d):
     f"select doc_id as page, {' + '.join(f'contains(lower(text), {chr(39)}{k}{chr(39)})::int' for k in ('the', 'ation', 'les', 'chapter', 'ung'))} as hits, {wc('text')} as words from documents",
 )
 def keyword_hits_per_page(spark, d):
-    low = F.lower("text")
     kws = F.array(*[F.lit(k) for k in ("the", "ation", "les", "chapter", "ung")])
     return read_table(spark, d, "documents").select(
-        F.col("doc_id").alias("page"), F.size(F.filter(kws, lambda k: low.contains(k))).alias("hits"), tx.word_count(F.col("text")).alias("words")
+        F.col("doc_id").alias("page"), tx.count_contained(kws, F.col("text")).alias("hits"), tx.word_count(F.col("text")).alias("words")
     )
 
 
