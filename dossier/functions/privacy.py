@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.text import EMPTY_TEXTS, WS, WS_CHARS, bind, contains_any, strip
+from dossier.functions.text import EMPTY_TEXTS, WS, bind, contains_any, strip
 
 # Identifier kinds and their patterns, applied in this order.
 IDENTIFIERS = (
@@ -182,7 +182,7 @@ def search_string(terms: Column) -> Column:
             F.when(fresh, F.lit("updated")),
             F.lit(" ".join(TRUSTED_HINTS)),
         )
-        return collapse(F.regexp_replace(parts, f"[^A-Za-z0-9{WS_CHARS}\\-]", " "))
+        return collapse(F.regexp_replace(parts, "(?U)[^A-Za-z0-9\\s\\x1c-\\x1f\\-]", " "))
 
     return bind(F.array_join(F.filter(terms, lambda t: t.isNotNull() & (t != "")), " "), build)
 

@@ -107,11 +107,11 @@ _TRIG = " or ".join(f"contains(lower(clean_text), '{t}')" for t in privacy.GUIDE
     "H41 H53",
     f"""with {_RED_DOCS}, q as (
       select doc_id, {o_strip(f"regexp_replace(regexp_replace(concat_ws(' ', clean_text, case when {_TRIG} then 'guideline recommendation' end, case when contains(lower(clean_text), 'latest') or contains(lower(clean_text), 'updated') then 'updated' end, 'WHO CDC NICE NIH PubMed'), '[^A-Za-z0-9{WS[1:-1]}\\-]', ' ', 'g'), '{WS}+', ' ', 'g')")} as q
-      from red where clean_text <> '')
+      from red)
     select doc_id, md5(q) as query_digest, not (regexp_matches(q, '\\b[0-9]{{3,4}}[-. ]?[0-9]{{4}}\\b') or regexp_matches(lower(q), '\\b(mrn|hospital id|patient id|national id|ssn)\\b')) as is_private from q""",
 )
 def search_query(spark, d):
-    r = privacy.redact(read_table(spark, d, "documents").select("doc_id", "text"), "text").filter("clean_text <> ''")
+    r = privacy.redact(read_table(spark, d, "documents").select("doc_id", "text"), "text")
     r = r.withColumn("q", privacy.search_string(F.array("clean_text")))
     return r.select("doc_id", F.md5("q").alias("query_digest"), privacy.query_is_private(F.col("q")).alias("is_private"))
 
