@@ -18,7 +18,7 @@ def _feed(spark, tmp_path, df, files=3):
     """Parquet files in the order of the first column, read back as a stream with one file per micro-batch."""
     src = str(tmp_path / "in")
     first = df.columns[0]
-    cuts = [r[0] for r in df.select(F.ntile(files).over(Window.orderBy(first)).alias("n"), first).groupBy("n").agg(F.max(first)).orderBy("n").collect()]
+    cuts = [r[1] for r in df.select(F.ntile(files).over(Window.orderBy(first)).alias("n"), first).groupBy("n").agg(F.max(first)).orderBy("n").collect()]
     low = None
     for i, high in enumerate(cuts):
         part = df.filter(F.col(first) <= high) if low is None else df.filter((F.col(first) > low) & (F.col(first) <= high))
