@@ -266,8 +266,12 @@ def word_count_histogram(df: DataFrame, buckets=CHUNK_BUCKETS, col: str = "word_
     return wide.unpivot([], [F.col(f"`{b}`") for b, _ in buckets], "bucket", "n")
 
 
-def concatenate_by_section(chunks: DataFrame, order: str = "ord") -> DataFrame:
-    """One text per section with a heading wherever the subsection changes; blank subsections keep the last."""
+def section_blocks(chunks: DataFrame, order: str = "ord") -> DataFrame:
+    """The blocks of each section's full text, in order, with a heading wherever the subsection changes.
+
+    Blank subsections keep the last one. Joining ``block`` by blank lines in ``order`` gives the text; it
+    stays in rows because a section may hold a large share of the corpus.
+    """
     sub = F.nullif(strip(F.coalesce("subsection", F.lit(""))), F.lit(""))
     marked = prefix_scan(
         chunks.select("section", order, "text", sub.alias("sub")), ["section"], order, {"prev": ("last", F.col("sub"))},
@@ -275,4 +279,4 @@ def concatenate_by_section(chunks: DataFrame, order: str = "ord") -> DataFrame:
     )
     changed = F.col("sub").isNotNull() & ~F.col("sub").eqNullSafe(F.col("prev"))
     heading = F.when(changed, F.concat(F.lit("\n### "), F.col("sub"), F.lit("\n\n\n"))).otherwise(F.lit(""))
-    return marked.groupBy("section").agg(_joined(F.concat(heading, F.col("text")), F.col(order), "\n\n").alias("text"))
+    return marked.select("section", order, F.concat(heading, F.col("text")).alias("block"))

@@ -269,9 +269,8 @@ def rank_catalogue(requests: DataFrame, entries: DataFrame, n: int) -> DataFrame
     words = q.select("term").distinct().join(inside, "term")
     hits = q.join(words, "term").join(e, "token").select("request_id", "entry", "seq", "term").distinct()
     scored = hits.groupBy("request_id", "entry", "seq").agg(F.count("*").alias("score"))
-    first = entries.orderBy("seq").limit(n).agg(F.collect_list(F.struct("entry", "seq")).alias("f"), F.lit(1).alias("one"))
-    fill = requests.select("request_id", F.lit(1).alias("one")).join(F.broadcast(first), "one")
-    fill = fill.select("request_id", F.explode("f").alias("f")).select("request_id", "f.entry", "f.seq", F.lit(0).cast("long").alias("score"))
+    first = entries.orderBy("seq").limit(n).agg(F.collect_list(F.struct("entry", "seq"))).scalar()
+    fill = requests.select("request_id", F.explode(first).alias("f")).select("request_id", "f.entry", "f.seq", F.lit(0).cast("long").alias("score"))
     best = scored.unionByName(fill).groupBy("request_id", "entry", "seq").agg(F.max("score").alias("score"))
     w = Window.partitionBy("request_id").orderBy(F.col("score").desc(), "seq")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)

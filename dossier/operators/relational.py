@@ -30,9 +30,9 @@ def match_either_key(requests: DataFrame, people: DataFrame, ref: str, keys: tup
 
 def assigned_or_any(sessions: DataFrame, assignments: DataFrame, doctors: DataFrame) -> DataFrame:
     """Assigned doctor of the patient, else the smallest doctor id (one aggregated value)."""
-    fallback = doctors.agg(F.min("doctor_id").alias("any_doctor"), F.lit(1).alias("one"))
-    joined = sessions.join(assignments, "patient_id", "left").withColumn("one", F.lit(1)).join(F.broadcast(fallback), "one", "left")
-    return joined.withColumn("doctor_id", F.coalesce("assigned_doctor", "any_doctor")).drop("one", "any_doctor", "assigned_doctor")
+    fallback = doctors.agg(F.min("doctor_id")).scalar()
+    joined = sessions.join(assignments, "patient_id", "left")
+    return joined.withColumn("doctor_id", F.coalesce("assigned_doctor", fallback)).drop("assigned_doctor")
 
 
 def match_pending_cases(feedback: DataFrame, cases: DataFrame, person: str = "patient_name") -> DataFrame:

@@ -22,6 +22,10 @@ from dossier.operators.scans import prefix_scan
 QUERY_BYTES = 64 << 20
 BLOCK_ROWS = 8192
 DECIMALS = 6
+# Distance tiles: rows x queries (squared L2 also holds the dimension).
+ROW_TILE = 4096
+QUERY_TILE = 512
+L2_QUERY_TILE = 8
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -58,6 +62,26 @@ def _mask(dist, ids, chapters, qids, wheres, exclude_self):
     return dist
 
 
+def _scan_batch(best, batch, qids, q, metric, k, wheres=None, exclude_self=False, qcodes=None, radius=0) -> None:
+    """Distances of one Arrow batch to all queries, in tiles that keep the matrix small."""
+    rows, width = ROW_TILE, QUERY_TILE if metric == "cosine" else L2_QUERY_TILE
+    for at in range(0, len(batch), rows):
+        part = batch.iloc[at : at + rows]
+        ids = part["id"].to_numpy("int64")
+        x = np.stack(part["embedding"]).astype("float64")
+        for lo in range(0, len(qids), width):
+            hi = min(lo + width, len(qids))
+            dist = _distances(x, q[lo:hi], metric)
+            if qcodes is not None:
+                flips = np.bitwise_count(qcodes[lo:hi, None] ^ part["code"].to_numpy("int64")[None, :])
+                dist = np.where(flips <= radius, dist, np.inf)
+            where = None if wheres is None else wheres[lo:hi]
+            dist = _mask(dist, ids, part["chapter"] if where is not None else None, qids[lo:hi], where, exclude_self)
+            tile = best[lo:hi]
+            _keep_best(tile, ids, dist, k)
+            best[lo:hi] = tile
+
+
 def _emit(qids, best) -> pd.DataFrame:
     return pd.DataFrame(
         {
@@ -79,15 +103,9 @@ def _broadcast_search(vectors: DataFrame, queries: DataFrame, k: int, metric: st
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qids, q, wheres = payload.value
-        step = max(1, 2_000_000 // max(1, q.shape[1] * (1 if metric == "cosine" else len(q))))
         best = _empty(len(qids))
         for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at : at + step]
-                ids = part["id"].to_numpy("int64")
-                dist = _distances(np.stack(part["embedding"]).astype("float64"), q, metric)
-                dist = _mask(dist, ids, part["chapter"] if where else None, qids, wheres, exclude_self)
-                _keep_best(best, ids, dist, k)
+            _scan_batch(best, batch, qids, q, metric, k, wheres, exclude_self)
         yield _emit(qids, best)
 
     side = vectors.select("id", "embedding", *(["chapter"] if where else []))
@@ -104,16 +122,10 @@ def _block_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, w
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"qid": [], "id": [], "distance": []}).astype({"qid": "int64", "id": "int64"})
-        qids, ids = right["qid"].to_numpy("int64"), left["id"].to_numpy("int64")
+        qids = right["qid"].to_numpy("int64")
         best = _empty(len(qids))
-        x, qm = np.stack(left["embedding"]).astype("float64"), np.stack(right["q"]).astype("float64")
-        for at in range(0, len(qids), 64):
-            to = at + 64
-            dist = _distances(x, qm[at:to], metric)
-            dist = _mask(dist, ids, left["chapter"] if where else None, qids[at:to], right["where"].to_numpy()[at:to] if where else None, exclude_self)
-            part = best[at:to]
-            _keep_best(part, ids, dist, k)
-            best[at:to] = part
+        wheres = right["where"].to_numpy() if where else None
+        _scan_batch(best, left, qids, np.stack(right["q"]).astype("float64"), metric, k, wheres, exclude_self)
         return _emit(qids, best)
 
     return v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(pair, "qid long, id long, distance double")
@@ -171,10 +183,7 @@ def bucketed_knn(bucketed: DataFrame, queries: DataFrame, k: int, bits: int, rad
         qids, q, qcodes = payload.value
         best = _empty(len(qids))
         for batch in batches:
-            ids, codes = batch["id"].to_numpy("int64"), batch["code"].to_numpy("int64")
-            flips = np.bitwise_count(qcodes[:, None] ^ codes[None, :])
-            dist = _distances(np.stack(batch["embedding"]).astype("float64"), q, metric)
-            _keep_best(best, ids, np.where(flips <= radius, dist, np.inf), k)
+            _scan_batch(best, batch, qids, q, metric, k, qcodes=qcodes, radius=radius)
         yield _emit(qids, best)
 
     near = bucketed.filter(F.col("code").isin(wanted)).select("id", "embedding", "code")

@@ -60,16 +60,17 @@ def response_retry(spark, d):
 
 @query(
     "H25",
-    f"""with x as (select conv_id, string_agg((turn + 1) || '. ' || {strip("string_split(text, chr(10))[1]")}, chr(10) order by turn) filter (where turn <> 1) as t, count(*) as n,
-      list({strip("string_split(text, chr(10))[1]")} order by turn) as l from conversations group by conv_id)
-    select conv_id, md5(list_aggregate(list_transform(l, lambda v, i: case when i = 2 then '' else v end), 'string_agg', '|')) as digest from x""",
+    f"""with x as (select doc_id, list_transform(string_split(text, chr(10)), lambda v: {strip("v")}) as l from documents)
+    select doc_id, md5(list_aggregate(list_transform(l, lambda v, i: case when i % 3 = 2 then '' else v end), 'string_agg', '|')) as digest from x""",
 )
 def numbered_list(spark, d):
-    first = tx.strip(F.get(F.split("text", "\n"), F.lit(0)))
-    line = F.when(F.col("turn") != 1, F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), first))
-    rows = F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))
-    g = read_table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["l"]), "\n").alias("t"), F.count("*").cast("int").alias("n"))
-    return g.select("conv_id", F.md5(F.array_join(rs.numbered_list(F.col("t"), F.col("n")), "|")).alias("digest"))
+    """Document lines as a numbered reply in which every third number is missing."""
+    lines = F.transform(F.split("text", "\n"), tx.strip)
+    reply = F.transform(
+        lines, lambda v, i: F.when(i % 3 != 1, F.concat((i + 1).cast("string"), F.when(i % 2 == 0, ". ").otherwise(") "), v)).otherwise("noise")
+    )
+    docs = read_table(spark, d, "documents").select("doc_id", F.size(lines).alias("n"), F.array_join(reply, "\n").alias("t"))
+    return docs.select("doc_id", F.md5(F.array_join(rs.numbered_list(F.col("t"), F.col("n")), "|")).alias("digest"))
 
 
 @query("D3", "select event_id, case when event_id % 2 = 0 then '' else 'j' end as missing from events")
@@ -224,18 +225,6 @@ def finding_blocks(spark, d):
     return m.select("session_id", "turn", F.md5(block).alias("block"), nv.first_urgent_action(F.col("urgency"), rules).alias("action"))
 
 
-@query(
-    "H54",
-    """select conv_id, md5(string_agg('--- Passage ' || (turn + 1) || ' ---' || chr(10) || 'Chapter : ' || role || chr(10) || 'Section : s' || case when turn % 2 = 0 then '  [rerank score: ' || printf('%.4f', turn / 4.0) || ']' else '' end
-       || chr(10) || chr(10) || trim(text, ' ' || chr(10)), chr(10) || chr(10) order by turn)) as digest from conversations group by conv_id""",
-)
-def passage_blocks(spark, d):
-    score = F.when(F.col("turn") % 2 == 0, F.col("turn") / 4.0)
-    p = nv.passage(F.col("turn") + 1, F.col("role"), F.lit("s"), F.col("text"), score)
-    rows = F.array_sort(F.collect_list(F.struct("turn", p.alias("p"))))
-    return read_table(spark, d, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(rows, lambda r: r["p"]), "\n\n")).alias("digest"))
-
-
 @query(
     "H64",
     """select conv_id, turn, 'a=' || role || ',b=' || (case when turn % 2 = 0 then 'new' else 'old' end) as answers, array_to_string(string_split(text, ' ')[1:3], '|') as followups from conversations""",
@@ -480,39 +469,58 @@ def session_numbers(spark, d):
 
 
 _CTX = f"""{_UPD},
-cond as (select patient, string_agg('c' || (e % 7) || case when e % 20 = 0 then ' (since 2020)' else '' end, ', ' order by e) as t, string_agg('c' || (e % 7), ', ' order by e) as p from upd where e % 10 = 0 group by patient),
-med as (select patient, string_agg('m1 (for pain), m2', ', ' order by e) as t, string_agg('m1, m2', ', ' order by e) as p from upd where e % 15 = 0 group by patient),
-alg as (select patient, string_agg('nuts', ', ' order by e) as t from upd where e % 25 = 0 group by patient),
+it0 as (select patient, 'known_conditions' as field, e, 0 as pos, 'c' || (e % 7) as name, case when e % 20 = 0 then ' (since 2020)' else '' end as since, '' as purpose from upd where e % 10 = 0
+  union all select patient, 'medications', e, k, 'm' || (k + 1), '', case when k = 0 then ' (for pain)' else '' end from upd, (values (0), (1)) t(k) where e % 15 = 0
+  union all select patient, 'allergies', e, 0, 'nuts', '', '' from upd where e % 25 = 0),
+it as (select *, (row_number() over (partition by patient, field order by e, pos) - 1) // 200 as part from it0),
+pc as (select patient, field, part, case when part > 0 then ', ' else '' end as sep, string_agg(name || since || purpose, ', ' order by e, pos) as full_,
+  string_agg(name || since, ', ' order by e, pos) as semi_, string_agg(name, ', ' order by e, pos) as plain from it group by all),
 l3 as (select *, row_number() over (partition by patient order by e desc) as b from upd),
 rec as (select patient, string_agg(strftime(ts, '%Y-%m-%d') || ' (' || event_type || ' → ' || case when e % 3 = 0 then 'dx' || (e % 8) else '' end || ' diagnosed)', '; ' order by e) as t,
   string_agg('- Previous diagnosis: dx' || (e % 8) || ' (' || strftime(ts, '%Y-%m-%d') || ')', chr(10) order by e) filter (where e % 3 = 0) as dx from l3 where b <= 3 group by patient),
-z as (select sc.patient, sessions, 'former smoker — quit ' || (smoke % 30 + 1990) as smoking, cond.t as cond, cond.p as condp, med.t as med, med.p as medp, alg.t as alg, rec.t as rec, rec.dx as dx
-  from sc left join cond using (patient) left join med using (patient) left join alg using (patient) left join rec using (patient))"""
+z as (select sc.patient, sessions, 'former smoker — quit ' || (smoke % 30 + 1990) as smoking, rec.t as rec, rec.dx as dx,
+  sc.patient in (select patient from it where field = 'allergies') as has_a, smoke is not null or sc.patient in (select patient from it) as conf from sc left join rec using (patient))"""
 
 
 @query(
     "H56 W11",
-    f"""with {_CTX} select patient, md5(concat_ws(chr(10), 'Known patient history:', '- Conditions: ' || cond, '- Medications: ' || med, '- Allergies: ' || alg, '- Smoking: ' || smoking,
-      '- Previous sessions: ' || sessions || case when sessions = 1 then ' session — ' else ' sessions — ' end || rec, '',
-      case when coalesce(smoking, condp, medp, alg) is not null then 'Briefly CONFIRM these known facts with the patient (one sentence each, accept yes/no — if anything changed, record the update):' || chr(10)
-        || concat_ws(chr(10), '  - smoking history (' || smoking || ')', '  - conditions (' || condp || ')', '  - medications (' || medp || ')', case when alg is not null then '  - allergies' end) || chr(10) end,
-      'Focus your detailed questions on the NEW presenting complaint.')) as digest from z""",
+    f"""with {_CTX}, lines as (
+      select patient, 0 as line_no, 0 as part, 'Known patient history:' as text from z
+      union all select patient, 4, 0, chr(10) || '- Smoking: ' || smoking from z where smoking is not null
+      union all select patient, 8, 0, chr(10) || '- Previous sessions: ' || sessions || case when sessions = 1 then ' session — ' else ' sessions — ' end || rec from z
+      union all select patient, 9, 0, chr(10) from z
+      union all select patient, 10, 0, chr(10) || 'Briefly CONFIRM these known facts with the patient (one sentence each, accept yes/no — if anything changed, record the update):' from z where conf
+      union all select patient, 11, 0, chr(10) || '  - smoking history (' || smoking || ')' from z where smoking is not null
+      union all select patient, 14, 0, chr(10) || '  - allergies' from z where has_a
+      union all select patient, 16, 0, chr(10) from z where conf
+      union all select patient, 17, 0, chr(10) || 'Focus your detailed questions on the NEW presenting complaint.' from z
+      union all select patient, case field when 'known_conditions' then 1 when 'medications' then 2 else 3 end, part,
+        case when part = 0 then chr(10) || '- ' || case field when 'known_conditions' then 'Conditions: ' when 'medications' then 'Medications: ' else 'Allergies: ' end else sep end || full_ from pc
+      union all select patient, case field when 'known_conditions' then 12 else 13 end, part,
+        case when part = 0 then chr(10) || '  - ' || case field when 'known_conditions' then 'conditions (' else 'medications (' end else sep end || plain from pc where field <> 'allergies'
+      union all select distinct patient, case field when 'known_conditions' then 12 else 13 end, 2000000000, ')' from pc where field <> 'allergies')
+    select * from lines""",
 )
 def intake_context(spark, d):
     u = _updates(spark, d)
-    c = pf.intake_context(pf.fold_scalars(u), pf.fold_items(u), pf.session_entries(u))
-    return c.select("patient", F.md5("context").alias("digest"))
+    return pf.intake_context(pf.fold_scalars(u), pf.fold_items(u), pf.session_entries(u))
 
 
 @query(
     "H56 W11",
-    f"""with {_CTX} select patient, md5(concat_ws(chr(10), 'Patient history:', '- Known conditions: ' || cond, '- Medications: ' || medp, '- Allergies: ' || alg, '- Smoking: ' || smoking, dx, '',
-      'Consider this history when forming your differential diagnosis.')) as digest from z""",
+    f"""with {_CTX}, lines as (
+      select patient, 0 as line_no, 0 as part, 'Patient history:' as text from z
+      union all select patient, 4, 0, chr(10) || '- Smoking: ' || smoking from z where smoking is not null
+      union all select patient, 7, 0, chr(10) || dx from z where dx is not null
+      union all select patient, 8, 0, chr(10) from z
+      union all select patient, 9, 0, chr(10) || 'Consider this history when forming your differential diagnosis.' from z
+      union all select patient, case field when 'known_conditions' then 1 when 'medications' then 2 else 3 end, part,
+        case when part = 0 then chr(10) || '- ' || case field when 'known_conditions' then 'Known conditions: ' when 'medications' then 'Medications: ' else 'Allergies: ' end else sep end || semi_ from pc)
+    select * from lines""",
 )
 def triage_context(spark, d):
     u = _updates(spark, d)
-    c = pf.triage_context(pf.fold_scalars(u), pf.fold_items(u), pf.session_entries(u))
-    return c.select("patient", F.md5("context").alias("digest"))
+    return pf.triage_context(pf.fold_scalars(u), pf.fold_items(u), pf.session_entries(u))
 
 
 # ---- sessions ----------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from dossier.functions.text import context_prefix
 from dossier.operators import metrics, retrieval
 from dossier.operators.rerank import rerank
 from dossier.plans import adapters
-from dossier.plans.oracle import SECTIONS, words
+from dossier.plans.oracle import SECTIONS, strip, words
 from dossier.plans.registry import query
 from dossier.sources.readers import read_table
 
@@ -212,6 +212,23 @@ def retrieve_rerank_delta(spark, d):
     return rerank(_benchmark_candidates(spark, d), items, texts, 3)
 
 
+@query(
+    "H54",
+    f"""with {_ENCODED} select c.qid, md5(string_agg('--- Passage ' || c.rank || ' ---' || chr(10) || 'Chapter : ' || t.lang || chr(10) || 'Section : ' || t.source
+        || '  [rerank score: ' || printf('%.4f', c.distance) || ']' || chr(10) || chr(10) || {strip('t.text')}, chr(10) || chr(10) order by c.rank)) as digest
+      from cand c join documents t on t.doc_id = c.id group by c.qid""",
+)
+def passage_blocks(spark, d):
+    """Numbered passages of the ten candidates of each query."""
+    from dossier.functions.narrative import passage
+
+    docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    c = _benchmark_candidates(spark, d).join(docs, "id")
+    p = passage(F.col("rank"), F.col("lang"), F.col("source"), F.col("text"), F.col("distance"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", p.alias("p"))))
+    return c.groupBy("qid").agg(F.md5(F.array_join(F.transform(rows, lambda r: r["p"]), "\n\n")).alias("digest"))
+
+
 def _truth(spark: SparkSession, d: str) -> DataFrame:
     first_six = F.array_join(F.slice(F.split(F.trim("text"), "\\s+"), 1, 6), " ")
     return read_table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), first_six.alias("truth"))

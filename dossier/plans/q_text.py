@@ -321,11 +321,11 @@ def section_coverage(spark, d):
     f"""with {SECTIONS}, x as (select *, nullif({strip('ess')}, '') as sub from sections),
     y as (select *, last_value(sub ignore nulls) over (partition by section order by seq rows between unbounded preceding and 1 preceding) as prev from x),
     z as (select section, seq, case when sub is not null and (prev is null or prev <> sub) then chr(10) || '### ' || sub || chr(10) || chr(10) || chr(10) else '' end || text as block from y)
-    select section, md5(string_agg(block, chr(10) || chr(10) order by seq)) as digest from z group by section""",
+    select section, seq as ord, md5(block) as digest from z""",
 )
-def concatenated_sections(spark, d):
+def section_blocks(spark, d):
     s = adapters.sections(spark, d).select("section", F.col("seq").alias("ord"), tx.strip(F.col("text")).alias("text"), F.col("essentials_text").alias("subsection"))
-    return ch.concatenate_by_section(s).select("section", F.md5("text").alias("digest"))
+    return ch.section_blocks(s).select("section", "ord", F.md5("block").alias("digest"))
 
 
 @query(
