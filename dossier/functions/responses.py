@@ -27,28 +27,25 @@ REQUIRED_KEYS = (
 )
 
 
-def _grab(raw: Column, pattern: str, group: int) -> Column:
-    return F.when(raw.rlike(pattern), F.regexp_extract(raw, pattern, group))
-
-
-def json_candidates(raw: Column) -> Column:
-    """Whole text, fenced block, tagged block, outermost braces - in that order."""
-    return F.array(
+def json_candidates(raw: Column) -> list[Column]:
+    """Whole text, fenced block, tagged block, outermost braces - in that order; '' where absent."""
+    return [
         strip(raw),
-        _grab(raw, "(?s)```(?:json)?\\s*(.+?)\\s*```", 1),
-        _grab(raw, "(?is)<json>\\s*(.+?)\\s*</json>", 1),
-        _grab(raw, "(?s)\\{.+\\}", 0),
-    )
+        F.regexp_extract(raw, "(?s)```(?:json)?\\s*(.+?)\\s*```", 1),
+        F.regexp_extract(raw, "(?is)<json>\\s*(.+?)\\s*</json>", 1),
+        F.regexp_extract(raw, "(?s)\\{.+\\}", 0),
+    ]
 
 
 def extract_json(raw: Column, objects_only: bool = True) -> Column:
-    """The first candidate that parses, as text; null when none does."""
+    """The first candidate that parses, as text; null when none does. Later candidates are only built
+    when the earlier ones fail."""
 
     def good(x: Column) -> Column:
-        ok = x.isNotNull() & F.try_parse_json(x).isNotNull()
-        return ok & x.startswith("{") if objects_only else ok
+        ok = x.startswith("{") if objects_only else x != ""
+        return F.when(ok & F.try_parse_json(x).isNotNull(), x)
 
-    return F.get(F.filter(json_candidates(raw), good), F.lit(0))
+    return F.coalesce(*[good(x) for x in json_candidates(raw)])
 
 
 def first_response(first: Column, retry: Column, default: Column) -> dict[str, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.glyphs import repair, residual_codes
-from dossier.functions.text import strip, word_count
+from dossier.functions.text import bind, strip, word_count
 from dossier.operators.scans import fits_one_block, prefix_scan
 from dossier.session import stage
 
@@ -207,23 +207,25 @@ def pages_without_text(spans: DataFrame) -> DataFrame:
 
 def record_lines(lines: Column, is_heading) -> Column:
     """array<struct(heading, body)> of one document's lines: a heading opens a record, the following
-    lines are joined by blanks; lines before the first heading and headings without lines go away."""
-    start = F.expr(
-        "struct(cast(array() as array<struct<heading:string,body:string>>) as done, "
-        "cast(null as string) as heading, cast(array() as array<string>) as body)"
-    )
+    lines are joined by blanks; lines before the first heading and headings without lines go away.
 
-    def close(a: Column) -> Column:
-        full = a["heading"].isNotNull() & (F.size(a["body"]) > 0)
-        rec = F.struct(a["heading"].alias("heading"), F.array_join(a["body"], " ").alias("body"))
-        return F.when(full, F.concat(a["done"], F.array(rec))).otherwise(a["done"])
+    Headings are found once and records are slices between them, so the work grows with the lines.
+    """
 
-    def step(a: Column, line: Column) -> Column:
-        opened = F.struct(close(a).alias("done"), line.alias("heading"), F.expr("cast(array() as array<string>)").alias("body"))
-        grown = F.struct(
-            a["done"].alias("done"), a["heading"].alias("heading"),
-            F.when(a["heading"].isNotNull(), F.concat(a["body"], F.array(line))).otherwise(a["body"]).alias("body"),
+    def cut(kept: Column) -> Column:
+        places = F.filter(
+            F.transform(kept, lambda line, i: F.when(is_heading(line), i + 1)), lambda p: p.isNotNull()
         )
-        return F.when(line == "", a).when(is_heading(line), opened).otherwise(grown)
 
-    return F.aggregate(F.transform(lines, strip), start, step, close)
+        def slices(at: Column) -> Column:
+            return F.transform(
+                at,
+                lambda p, k: F.struct(
+                    F.element_at(kept, p).alias("heading"),
+                    F.array_join(F.slice(kept, p + 1, F.coalesce(F.get(at, k + 1), F.size(kept) + 1) - p - 1), " ").alias("body"),
+                ),
+            )
+
+        return F.filter(bind(places, slices), lambda r: r["body"] != "")
+
+    return bind(F.filter(F.transform(lines, strip), lambda line: line != ""), cut)

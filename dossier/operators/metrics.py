@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.text import count_contained
+from dossier.session import small_side, stage
 
 # Prices per million tokens (input, output).
 PRICES = {"gpt-5.4-mini": (0.75, 4.50), "gpt-5.4": (2.50, 10.00)}
@@ -82,7 +83,7 @@ def order_statistics(
             .withColumn(f"hi_{name}", F.col("q")[2 * i + 1])
             .withColumn(f"at_{name}", picks[name][1](F.col("n")).cast("long"))
         )
-    sketch = sketch.drop("q")
+    sketch = small_side(stage(sketch.drop("q")))
     counted = rows.join(sketch, keys).groupBy(*keys).agg(
         *[F.count_if(F.col("v") < F.col(f"lo_{n}")).alias(f"below_{n}") for n in names],
         *[F.count_if(F.col("v") <= F.col(f"hi_{n}")).alias(f"upto_{n}") for n in names],
@@ -98,7 +99,7 @@ def order_statistics(
         )
         for n in names
     ]
-    targets = bracket.select(*keys, F.array(*wide).alias("targets"))
+    targets = small_side(stage(bracket.select(*keys, F.array(*wide).alias("targets"))))
     inside = (
         rows.join(targets, keys)
         .withColumn("t", F.explode(F.filter("targets", lambda t: (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))))

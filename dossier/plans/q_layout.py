@@ -159,6 +159,23 @@ def glyph_solver(spark, d):
     return gr.solve_glyphs(adapters.damaged(spark, d), "damaged", _dictionary(spark, d))
 
 
+@query(
+    "H30 J19",
+    f"""with w as (select unnest(regexp_extract_all(lower({_DAMAGE}), '[A-Za-z\\x{{E000}}-\\x{{F8FF}}][A-Za-z\\x{{E000}}-\\x{{F8FF}}''\\-.]*')) as word from documents),
+    bank as (select word, count(*) as n from w where regexp_matches(word, '{_PUA}') group by word),
+    dict as (select distinct word from (select unnest(regexp_extract_all(lower(text), '[a-z][a-z''\\-.]*')) as word from documents) where length(word) >= 3),
+    t as (select g, c, n, replace(word, g, c) as r from bank, (select unnest(string_split('{adapters.DAMAGE_TO}', '')) as g), (select unnest(string_split('abcdefghijklmnopqrstuvwxyz-.' || chr(39), '')) as c)
+      where contains(word, g))
+    select g as glyph, c as candidate, sum(n)::bigint as score from t where r in (select word from dict) group by all""",
+)
+def candidate_scores(spark, d):
+    """First-round scores of every unknown glyph: dictionary hits per candidate letter."""
+    t = adapters.damaged(spark, d)
+    bank, words = gr.damaged_words(t, "damaged"), _dictionary(spark, d)
+    parts = [gr.score_candidates(bank, g, words, {}).select(F.lit(g).alias("glyph"), "candidate", "score") for g in adapters.DAMAGE_TO]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _SCORE_WORD = "lower(replace(word, g, letter))"
 
 

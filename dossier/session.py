@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "dossier", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -38,6 +39,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+BROADCAST_ROWS = 100_000
+
+
+def small_side(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a written table for broadcast when it is known to be small, else leave the join to the planner."""
+    return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back.
 
