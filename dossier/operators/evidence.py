@@ -257,11 +257,12 @@ def rank_catalogue(requests: DataFrame, entries: DataFrame, n: int) -> DataFrame
 
     q = requests.select("request_id", F.explode(tokens(F.col("query"))).alias("term"))
     e = entries.select("entry", "seq", F.explode(tokens(F.concat_ws(" ", "title", "snippet"))).alias("token"))
+    longest = q.agg(F.max(F.length("term"))).first()[0] or 0
     pieces = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.length("token")),
             lambda i: F.transform(
-                F.sequence(F.lit(1), F.length("token") - i + 1), lambda m: F.substr(F.col("token"), i, m)
+                F.sequence(F.lit(1), F.least(F.length("token") - i + 1, F.lit(longest))), lambda m: F.substr(F.col("token"), i, m)
             ),
         )
     )

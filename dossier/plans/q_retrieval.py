@@ -215,7 +215,7 @@ def retrieve_rerank_delta(spark, d):
 @query(
     "H54",
     f"""with {_ENCODED} select c.qid, md5(string_agg('--- Passage ' || c.rank || ' ---' || chr(10) || 'Chapter : ' || t.lang || chr(10) || 'Section : ' || t.source
-        || '  [rerank score: ' || printf('%.4f', c.distance) || ']' || chr(10) || chr(10) || {strip('t.text')}, chr(10) || chr(10) order by c.rank)) as digest
+        || '  [rerank score: ' || printf('%.4f', sqrt(c.distance)) || ']' || chr(10) || chr(10) || {strip('t.text')}, chr(10) || chr(10) order by c.rank)) as digest
       from cand c join documents t on t.doc_id = c.id group by c.qid""",
 )
 def passage_blocks(spark, d):
@@ -224,7 +224,7 @@ def passage_blocks(spark, d):
 
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
     c = _benchmark_candidates(spark, d).join(docs, "id")
-    p = passage(F.col("rank"), F.col("lang"), F.col("source"), F.col("text"), F.col("distance"))
+    p = passage(F.col("rank"), F.col("lang"), F.col("source"), F.col("text"), F.sqrt("distance"))
     rows = F.array_sort(F.collect_list(F.struct("rank", p.alias("p"))))
     return c.groupBy("qid").agg(F.md5(F.array_join(F.transform(rows, lambda r: r["p"]), "\n\n")).alias("digest"))
 
