@@ -268,7 +268,8 @@ def rank_catalogue(requests: DataFrame, entries: DataFrame, n: int) -> DataFrame
     )
     inside = e.select("token").distinct().select("token", F.explode(F.array_distinct(pieces)).alias("term"))
     words = q.select("term").distinct().join(inside, "term")
-    hits = q.join(words, "term").join(e, "token").select("request_id", "entry", "seq", "term").distinct()
+    holds = words.join(e, "token").select("term", "entry", "seq").distinct()
+    hits = q.join(holds, "term")
     scored = hits.groupBy("request_id", "entry", "seq").agg(F.count("*").alias("score"))
     first = entries.orderBy("seq").limit(n).agg(F.collect_list(F.struct("entry", "seq"))).scalar()
     fill = requests.select("request_id", F.explode(first).alias("f")).select("request_id", "f.entry", "f.seq", F.lit(0).cast("long").alias("score"))
