@@ -127,12 +127,14 @@ def mean_grade(spark, d):
 
 
 _PAIRS = """o as (select item_id, regexp_replace(text, '[^ -~]', '', 'g') as text from benchmark),
-pairs as (select item_id, left(text, 40) as a, left(lower(text), 40 - item_id % 30) as b from o)"""
+pairs as (select item_id, text as a, case item_id % 4 when 0 then lower(text) when 1 then replace(lower(text), 'e', '') when 2 then replace(lower(text), ' ', '--') else reverse(text) end as b from o)"""
 
 
 def _pairs(spark, d):
     b = read_table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
-    return b.select("item_id", F.substring("text", 1, 40).alias("a"), F.substr(F.lower("text"), F.lit(1), (F.lit(40) - F.col("item_id") % 30).cast("int")).alias("b"))
+    i, low = F.col("item_id") % 4, F.lower("text")
+    other = F.when(i == 0, low).when(i == 1, F.replace(low, F.lit("e"), F.lit(""))).when(i == 2, F.replace(low, F.lit(" "), F.lit("--"))).otherwise(F.reverse("text"))
+    return b.select("item_id", F.col("text").alias("a"), other.alias("b"))
 
 
 @query(

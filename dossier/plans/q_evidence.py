@@ -473,12 +473,12 @@ def best_approach(spark, d):
 @query(
     "U5",
     """with a(approach, use_claims) as (values ('deterministic_only', false), ('llm_synthesis_only', false), ('llm_claims_and_synthesis', true), ('full_llm_council', true), ('hybrid_recommended', true))
-    select item_id, approach, md5(case when use_claims and item_id % 3 <> 0 then text else left(text, 10) end) as claims from benchmark, a""",
+    select item_id, approach, md5(case when use_claims and item_id % 3 <> 0 then text else 'd: ' || text end) as claims from benchmark, a""",
 )
 def approach_runs(spark, d):
     b = experiments.per_approach(read_table(spark, d, "benchmark"))
     supplied = F.when(F.col("item_id") % 3 != 0, F.col("text"))
-    return b.select("item_id", "approach", F.md5(experiments.stage_value(F.col("use_claims"), supplied, F.substring("text", 1, 10))).alias("claims"))
+    return b.select("item_id", "approach", F.md5(experiments.stage_value(F.col("use_claims"), supplied, F.concat(F.lit("d: "), "text"))).alias("claims"))
 
 
 @query(

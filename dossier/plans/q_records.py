@@ -119,15 +119,15 @@ def record_blob(spark, d):
 
 @query(
     "J22 D9",
-    """with a as (select lang, source, count(*) as n, sum((doc_id % 2)::int) as h from documents group by all),
-    x as (select upper(source) as name, sum(n)::int as a_items, sum(h)::int as b_items from a group by source)
+    """with x as (select upper(source) as name, count(*)::int as a_items, count(l.doc_id)::int as b_items from documents d left join labels l on l.doc_id = d.doc_id group by source)
     select name, a_items, b_items, abs(a_items - b_items) as gap, abs(a_items - b_items) >= 3 as flagged from x where b_items > 0""",
 )
 def output_comparison(spark, d):
     """List lengths of two models' outputs side by side, matched on the upper-case name."""
     docs = read_table(spark, d, "documents").withColumn("name", F.upper("source"))
     a = docs.groupBy("name").agg(F.count("*").cast("int").alias("a_items"))
-    b = docs.filter("doc_id % 2 = 1").groupBy(F.lower("source").alias("other")).agg(F.count("*").cast("int").alias("b_items"))
+    labelled = docs.join(read_table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    b = labelled.groupBy(F.lower("source").alias("other")).agg(F.count("*").cast("int").alias("b_items"))
     j = a.join(b, F.col("name") == F.upper("other"))
     gap = F.abs(F.col("a_items") - F.col("b_items"))
     return j.select("name", "a_items", "b_items", gap.alias("gap"), (gap >= 3).alias("flagged"))
@@ -168,18 +168,18 @@ _LIST = "string_split(left(text, 60), ' ')"
 
 
 def _narr(spark, d):
-    lst = F.split(F.substring("text", 1, 60), " ")
-    qa = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("onset_time"), F.substring("text", 1, 12), F.lit("pain"), F.lit("yes"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    lst = F.split("text", " ")
+    qa = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("onset_time"), F.col("text"), F.lit("pain"), F.lit("yes"))).otherwise(F.expr("cast(map() as map<string,string>)"))
     m = adapters.messages(spark, d).withColumnRenamed("content", "text")
     return m.withColumn("lst", lst).withColumn("qa", qa)
 
 
-_QA = "chr(10) || 'Patient interview responses:' || chr(10) || '  Q: onset_time' || chr(10) || '  A: ' || left(content, 12) || chr(10) || '  Q: pain' || chr(10) || '  A: yes'"
+_QA = "chr(10) || 'Patient interview responses:' || chr(10) || '  Q: onset_time' || chr(10) || '  A: ' || content || chr(10) || '  Q: pain' || chr(10) || '  A: yes'"
 
 
 @query(
     "H63",
-    f"""with {MESSAGES_SQL} select session_id, turn, md5('Presenting symptoms: ' || replace(left(content, 60), ' ', ', ') || case when turn % 2 = 0 then {_QA} else '' end
+    f"""with {MESSAGES_SQL} select session_id, turn, md5('Presenting symptoms: ' || replace(content, ' ', ', ') || case when turn % 2 = 0 then {_QA} else '' end
       || chr(10) || 'Urgency: ' || urgency || chr(10) || 'Patient complaint: ' || sender) as digest from messages""",
 )
 def narrative_text(spark, d):
@@ -188,13 +188,13 @@ def narrative_text(spark, d):
     return _narr(spark, d).select("session_id", "turn", F.md5(t).alias("digest"))
 
 
-_FQ = "'Patient presenting with: ' || replace(left(content, 60), ' ', ', ') || '. Urgency: ' || urgency || '.' || case when turn % 2 = 0 then ' Clinical findings:   - onset time: ' || left(content, 12) || '   - pain: yes' else '' end || ' Red flags present: ' || sender || '.'"
+_FQ = "'Patient presenting with: ' || replace(content, ' ', ', ') || '. Urgency: ' || urgency || '.' || case when turn % 2 = 0 then ' Clinical findings:   - onset time: ' || content || '   - pain: yes' else '' end || ' Red flags present: ' || sender || '.'"
 
 
 @query(
     "H55",
-    f"""with {MESSAGES_SQL} select session_id, turn, md5({_FQ}) as query, md5({_FQ} || ' Additional context: ' || case when turn % 2 = 0 then 'onset_time: ' || left(content, 12) || ' pain: yes' else '' end) as enriched,
-      md5('Patient complaint: ' || sender || '.' || case when turn % 2 = 0 then ' Patient history from follow-up questions:   - onset_time: ' || left(content, 12) || '   - pain: yes' else '' end) as refined from messages""",
+    f"""with {MESSAGES_SQL} select session_id, turn, md5({_FQ}) as query, md5({_FQ} || ' Additional context: ' || case when turn % 2 = 0 then 'onset_time: ' || content || ' pain: yes' else '' end) as enriched,
+      md5('Patient complaint: ' || sender || '.' || case when turn % 2 = 0 then ' Patient history from follow-up questions:   - onset_time: ' || content || '   - pain: yes' else '' end) as refined from messages""",
 )
 def retrieval_queries(spark, d):
     n = _narr(spark, d)
@@ -275,12 +275,12 @@ def name_lookup_chain(spark, d):
     return j.select("o_orderkey", "c_name", "n_name", "r_name")
 
 
-@query("J3 J6", "select o_orderkey, s_name, l_quantity from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where l_linenumber = 1")
+@query("J3 J6", "select o_orderkey, s_name, l_linenumber, l_quantity from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey")
 def inner_lookup(spark, d):
     o = read_table(spark, d, "orders").select("o_orderkey")
-    li = read_table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_suppkey", "l_quantity")
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity")
     j = rel.lookup_chain(o, (li, "o_orderkey", "l_orderkey"), (read_table(spark, d, "supplier").select("s_suppkey", "s_name"), "l_suppkey", "s_suppkey"), how="inner")
-    return j.select("o_orderkey", "s_name", "l_quantity")
+    return j.select("o_orderkey", "s_name", "l_linenumber", "l_quantity")
 
 
 @query(
@@ -573,11 +573,11 @@ def session_row_updates(spark, d):
 
 @query(
     "D4",
-    """with x as (select source, unnest(string_split(text, ' ')[1:5]) as item, doc_id, unnest([1,2,3,4,5]) as pos from documents)
+    """with x as (select source, unnest(string_split(text, ' ')) as item, doc_id from documents)
     select source, item, min(doc_id) as first_doc from x where item is not null group by all""",
 )
 def pooled_distinct(spark, d):
-    x = read_table(spark, d, "documents").select("source", "doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 5)).alias("pos", "item"))
+    x = read_table(spark, d, "documents").select("source", "doc_id", F.posexplode(F.split("text", " ")).alias("pos", "item"))
     return ss.pool_distinct(x, "source", "item", ["doc_id", "pos"]).select("source", "item", F.col("first.doc_id").alias("first_doc"))
 
 

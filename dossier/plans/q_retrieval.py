@@ -230,8 +230,7 @@ def passage_blocks(spark, d):
 
 
 def _truth(spark: SparkSession, d: str) -> DataFrame:
-    first_six = F.array_join(F.slice(F.split(F.trim("text"), "\\s+"), 1, 6), " ")
-    return read_table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), first_six.alias("truth"))
+    return read_table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.trim("text").alias("truth"))
 
 
 def _retrieved(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +239,7 @@ def _retrieved(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _recall_sql(distinct: bool, longer: int) -> str:
-    w = f"list_filter(string_split_regex(lower(list_aggregate(string_split_regex(trim(b.text), '\\s+')[1:6], 'string_agg', ' ')), '\\s+'), lambda x: x <> '' and length(x) > {longer})"
+    w = f"list_filter(string_split_regex(lower(trim(b.text)), '\\s+'), lambda x: x <> '' and length(x) > {longer})"
     w = f"list_distinct({w})" if distinct else w
     return f"""with {_ENCODED}, sh as (
       select b.item_id as qid, coalesce(len(list_filter({w}, lambda x: contains(lower(t.text), x)))::double / nullif(len({w}), 0), 0.0) as share
