@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,20 @@ def local_session(app: str = "dossier", cores: str = "*", partitions: int = 8) -
     )
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Executors need the package for the Arrow functions: hand it out once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="dossier-pkg-"), "dossier")
+        sc.addPyFile(shutil.make_archive(target, "zip", root, "dossier"))
+        _SHIPPED.add(sc.applicationId)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one only when none is set (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
