@@ -32,9 +32,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that poor and toxic text shrink to their shares; clean text keeps its full rate."""
+    """Poor and toxic text is thinned so that its shares fall to a half and a quarter; documents that are mostly clean stay."""
     ship_package(spark)
-    return soft_mixing.sample_to_targets(docs, table(spark, sf_dir, "labels"))
+    return soft_mixing.thin(docs, table(spark, sf_dir, "labels"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

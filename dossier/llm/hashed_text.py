@@ -76,15 +76,17 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"target": piece.column("target"), "index": ragged(offsets, index, pa.int32()), "value": ragged(offsets, values, pa.float32())})
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: int = SAMPLE_ROWS, seed: int = 1, holdout: bool = False) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: int = SAMPLE_ROWS, seed: int = 1, fold: int | None = None) -> DataFrame:
     """(target, index, value) of at most ``rows`` labelled documents, those with the smallest hash of the id.
 
-    ``target`` is an int column over ``labels``; rows where it or the id is null are left out. Training takes ids with an
-    even hash, ``holdout`` the others. The sample has a fixed bound, so its broadcast has one too.
+    ``target`` is an int column over ``labels``; rows where it or the id is null are left out. ``fold`` 0 or 1 takes only
+    ids with an even or an odd hash, to try a model on rows it has not seen. The sample has a fixed bound, so its broadcast has one too.
     """
     h = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"))
     wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), target.cast("int").alias("target"), h.alias("h"))
-    wanted = wanted.filter("doc_id is not null and target is not null").filter(F.pmod("h", F.lit(2)) == int(holdout)).distinct()
+    wanted = wanted.filter("doc_id is not null and target is not null").distinct()
+    if fold is not None:
+        wanted = wanted.filter(F.pmod("h", F.lit(2)) == fold)
     wanted = wanted.orderBy("h", "target").limit(rows).select("doc_id", "target")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(wanted), "doc_id").select("target", "text").mapInArrow(_extract, "target int, index array<int>, value array<float>")
@@ -97,3 +99,16 @@ def sparse_rows(frame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     index = np.concatenate([np.asarray(x, np.int64) for x in frame["index"]] or [np.empty(0, np.int64)])
     values = np.concatenate([np.asarray(x, np.float64) for x in frame["value"]] or [np.empty(0)])
     return frame["target"].to_numpy(np.int64), offsets, index, values
+
+
+def curvature(rows: np.ndarray, index: np.ndarray, values: np.ndarray, weight: np.ndarray) -> float:
+    """Largest eigenvalue of sum_i weight_i x_i x_i', by power iteration; bounds the step of a gradient descent."""
+    v = np.bincount(index, values, DIM)
+    size = 1.0
+    for _ in range(12):
+        v = np.bincount(index, (weight * np.bincount(rows, v[index] * values, len(weight)))[rows] * values, DIM)
+        size = float(np.linalg.norm(v))
+        if size == 0:
+            return 1.0
+        v = v / size
+    return size

@@ -360,4 +360,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     from pyspark.sql.types import StringType, StructType
 
     bare = encoded.drop("text")
-    return bare.mapInArrow(run, StructType(bare.schema.fields).add("text", StringType()))
+    return bare.mapInArrow(run, StructType(list(bare.schema.fields)).add("text", StringType()))

@@ -2,9 +2,9 @@
 
 A softmax regression fitted on the labelled table gives each document posteriors p_d over the domains. Document rates
 r >= 0 are then fitted so that the expected domain totals sum_i r_i n_i p_id (n_i tokens) match the targets, by projected
-gradient on the least-squares distance, scaled by the inverse of sum_i n_i p_i p_i' so that a few steps suffice:
-r <- clip(r - step * p . g). A step needs one aggregate over the written posteriors, whose result is one number per domain;
-a rate is recomputed from the short list of gradients, so no rate table is rewritten between steps.
+gradient on the least-squares distance, r <- clip(r - p . g). The metric is the inverse of sum_i n_i p_i p_i' over the rows
+that are free to move, so a few steps suffice. A step needs one aggregate over the written posteriors, whose result is a
+few numbers per domain; a rate is recomputed from the short list of gradients, so no rate table is rewritten between steps.
 """
 
 from __future__ import annotations
@@ -19,16 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import probably_in, text_slices
-from dossier.llm.hashed_text import DIM, SAMPLE_ROWS, WordFeatures, dots, features, labelled_sample, sparse_rows
+from dossier.llm.hashed_text import DIM, SAMPLE_ROWS, WordFeatures, curvature, dots, features, labelled_sample, sparse_rows
 from dossier.session import stage
 
 DOMAINS = ("clean", "poor", "toxic")
 WEIGHTS = (0.85, 0.10, 0.05)
+FACTORS = (1.0, 0.5, 0.25)
 STEPS = 40
 TOLERANCE = 1e-6
-FIT_STEPS = 60
-FIT_RATE = 0.3
-RIDGE = 2e-5
+FIT_STEPS = 100
+RIDGE = 1e-5
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ def domain_of(labels: DataFrame) -> Column:
 
 
 def fit_rows(y: np.ndarray, offsets: np.ndarray, index: np.ndarray, values: np.ndarray, domains: int) -> DomainModel:
-    """Softmax regression by Adam on penalised likelihood."""
+    """Softmax regression by accelerated gradient descent on the penalised likelihood."""
     n = len(y)
     w, b = np.zeros((DIM, domains)), np.zeros(domains)
     if not n:
@@ -58,23 +58,22 @@ def fit_rows(y: np.ndarray, offsets: np.ndarray, index: np.ndarray, values: np.n
     rows = np.repeat(np.arange(n), np.diff(offsets))
     b = np.log((np.bincount(y, minlength=domains) + 1) / (n + domains))
     want = np.eye(domains)[y]
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
+    pace = 1.8 / curvature(rows, index, values, np.full(n, 1 / n))
+    last_w, last_b = w, b
     for step in range(1, FIT_STEPS + 1):
-        z = np.stack([np.bincount(rows, w[index, k] * values, n) for k in range(domains)], 1) + b
+        ahead = (step - 1) / (step + 2)
+        at_w, at_b, last_w, last_b = w + ahead * (w - last_w), b + ahead * (b - last_b), w, b
+        z = np.stack([np.bincount(rows, at_w[index, k] * values, n) for k in range(domains)], 1) + at_b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         d = (p / p.sum(axis=1, keepdims=True) - want) / n
-        g = np.stack([np.bincount(index, d[rows, k] * values, DIM) for k in range(domains)], 1) + RIDGE * w
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * d.sum(0), 0.99 * vb + 0.01 * d.sum(0) ** 2
-        one, two = 1 - 0.9**step, 1 - 0.99**step
-        w -= FIT_RATE * m / one / (np.sqrt(v / two) + 1e-9)
-        b = b - 0.05 * mb / one / (np.sqrt(vb / two) + 1e-9)
+        w = at_w - pace * (np.stack([np.bincount(index, d[rows, k] * values, DIM) for k in range(domains)], 1) + RIDGE * at_w)
+        b = at_b - d.sum(0)
     return DomainModel(w, b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, domain: Column | None = None, domains: int = len(DOMAINS), sample_rows: int = SAMPLE_ROWS) -> DomainModel:
+def fit(docs: DataFrame, labels: DataFrame, domain: Column | None = None, domains: int = len(DOMAINS), sample_rows: int = SAMPLE_ROWS, fold: int | None = None) -> DomainModel:
     """Fit on at most ``sample_rows`` labelled documents; without any, all domains are equally likely."""
-    sample = labelled_sample(docs, labels, domain_of(labels) if domain is None else domain, sample_rows)
+    sample = labelled_sample(docs, labels, domain_of(labels) if domain is None else domain, sample_rows, fold=fold)
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [f for f in frames if len(f)]
@@ -104,15 +103,14 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     return source.mapInArrow(run, "doc_id long, th long, n_tokens long, p array<double>")
 
 
-def rate_of(gradients: Sequence[Sequence[float]], domains: int, max_rate: float | None) -> Column:
+def rate_of(gradients: Sequence[Sequence[float]], domains: int) -> Column:
     """The rate that the projected steps give a row with posteriors ``p``."""
     if not len(gradients):
         return F.lit(1.0)
     steps = F.array(*[F.struct(*[F.lit(float(g)).alias(f"g{k}") for k, g in enumerate(step)]) for step in gradients])
 
     def move(r: Column, s: Column) -> Column:
-        new = F.greatest(F.lit(0.0), r - sum((F.get("p", F.lit(k)) * s[f"g{k}"] for k in range(domains)), F.lit(0.0)))
-        return F.least(F.lit(float(max_rate)), new) if max_rate is not None else new
+        return F.greatest(F.lit(0.0), r - sum((F.get("p", F.lit(k)) * s[f"g{k}"] for k in range(domains)), F.lit(0.0)))
 
     return F.aggregate(steps, F.lit(1.0), move)
 
@@ -122,39 +120,42 @@ class Mix:
     gradients: tuple[tuple[float, ...], ...]
     target: tuple[float, ...]
     reached: tuple[float, ...]
-    max_rate: float | None
 
 
-def fit_rates(table: DataFrame, weights: Sequence[float], total: float | None = None, max_rate: float | None = None, steps: int = STEPS) -> Mix:
+def fit_rates(table: DataFrame, weights: Sequence[float], total: float | None = None, steps: int = STEPS) -> Mix:
     """Projected gradient over the written posteriors. ``weights`` are the wanted shares of ``total`` expected tokens, by default of all."""
     k = len(weights)
     p = [F.get("p", F.lit(i)) for i in range(k)]
     n = F.col("n_tokens").cast("double")
-    first = table.agg(*[F.coalesce(F.sum(n * p[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)], *[F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)).alias(f"a{i}_{j}") for i in range(k) for j in range(k)]).first()
-    now = np.array([first[f"t{i}"] for i in range(k)])
+
+    def totals(rate: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Expected domain totals, and sum n p p' over the rows with a positive rate."""
+        got = table.select("n_tokens", "p", rate.alias("r")).agg(
+            *[F.coalesce(F.sum(F.col("r") * n * p[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)],
+            *[F.coalesce(F.sum(F.when(F.col("r") > 0, n * p[i] * p[j])), F.lit(0.0)).alias(f"a{i}_{j}") for i in range(k) for j in range(k)],
+            *[F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)).alias(f"b{i}_{j}") for i in range(k) for j in range(k)],
+        ).first()
+        grid = lambda x: np.array([[got[f"{x}{i}_{j}"] for j in range(k)] for i in range(k)])
+        return np.array([got[f"t{i}"] for i in range(k)]), grid("a") + 0.05 * grid("b")
+
+    now, gram = totals(F.lit(1.0))
     share = np.asarray(weights, float) / np.sum(weights)
     target = share * (now.sum() if total is None else total)
     gradients: list[tuple[float, ...]] = []
-    if now.sum() <= 0:
-        return Mix((), tuple(target), tuple(now), max_rate)
-    gram = np.array([[first[f"a{i}_{j}"] for j in range(k)] for i in range(k)])
-    scale = np.linalg.pinv(gram + 1e-9 * np.trace(gram) / k * np.eye(k))
     best = (np.inf, 0, now)
-    for _ in range(steps):
+    while now.sum() > 0 or gradients:
         off = now - target
         size = float(np.abs(off).sum() / max(np.abs(target).sum(), 1e-9))
         if size < best[0]:
             best = (size, len(gradients), now)
-        if size < TOLERANCE:
+        if size < TOLERANCE or len(gradients) == steps:
             break
-        gradients.append(tuple(float(x) for x in scale @ off))
-        rate = rate_of(gradients, k, max_rate)
-        got = table.select("n_tokens", "p", rate.alias("r")).agg(*[F.sum(F.col("r") * n * p[i]).alias(f"t{i}") for i in range(k)]).first()
-        now = np.array([got[f"t{i}"] for i in range(k)])
-    return Mix(tuple(gradients[: best[1]]), tuple(target), tuple(float(x) for x in best[2]), max_rate)
+        gradients.append(tuple(float(x) for x in np.linalg.pinv(gram) @ off))
+        now, gram = totals(rate_of(gradients, k))
+    return Mix(tuple(gradients[: best[1]]), tuple(target), tuple(float(x) for x in best[2]))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = WEIGHTS, max_rate: float | None = None, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 11) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate and copies for every row of ``docs``.
 
     ``copies`` is the rate's whole part plus one with the probability of its fraction, by a hash of id and text, so the same
@@ -162,31 +163,38 @@ def mix(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = WEIGHTS,
     like any row. Repeated rows get equal rates; an empty table gives no rows; other columns are ignored.
     """
     table = stage(posteriors(docs, fit(docs, labels)))
-    fitted = fit_rates(table, weights, max_rate=max_rate)
+    fitted = fit_rates(table, weights)
     return decide(table, fitted, seed).select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(DOMAINS)], "rate", "copies")
 
 
+def _draw(seed: int) -> Column:
+    """A number in [0, 1) from id and text."""
+    return F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), "doc_id", "th"), F.lit(11)) / F.lit(float(1 << 53))
+
+
 def decide(table: DataFrame, fitted: Mix, seed: int) -> DataFrame:
-    u = F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), "doc_id", "th"), F.lit(11)) / F.lit(float(1 << 53))
-    rated = table.withColumn("rate", rate_of(fitted.gradients, len(fitted.target), fitted.max_rate))
-    return rated.withColumn("copies", (F.floor("rate") + (u < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
+    rated = table.withColumn("rate", rate_of(fitted.gradients, len(fitted.target)))
+    return rated.withColumn("copies", (F.floor("rate") + (_draw(seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
-def sample_to_targets(docs: DataFrame, labels: DataFrame, weights: Sequence[float] = WEIGHTS, seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` drawn at rates of at most 1, with all their columns.
+def thin(docs: DataFrame, labels: DataFrame, factors: Sequence[float] = FACTORS, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` left when each domain's share is scaled by its factor, with all their columns.
 
-    The target total is what the rows with the scarcest domain allow: with rates up to 1 the first domain keeps all of
-    its tokens and the others are drawn down to their share of it. Rows are dropped by id and text.
+    Shares do not change when all rates are divided by one number, so a row stays with the probability of its rate over the mean rate
+    of the rows that are mostly of the first domain; those rows always stay. Rows go by id and text; an empty table
+    gives no rows.
     """
     table = stage(posteriors(docs, fit(docs, labels)))
-    k = len(weights)
-    have = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
-    share = np.asarray(weights, float) / np.sum(weights)
-    wanted = np.minimum(have["t0"] / share[0] * share, [have[f"t{i}"] for i in range(k)])
-    fitted = fit_rates(table, np.maximum(wanted, 1e-12), total=float(wanted.sum()), max_rate=1.0)
-    gone = stage(decide(table, fitted, seed).filter("copies = 0").select(F.xxhash64("doc_id", "th").alias("_row"), "doc_id", "th").distinct())
+    k, n = len(factors), F.col("n_tokens")
+    have = table.agg(*[F.coalesce(F.sum(n * F.get("p", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
+    wanted = [have[f"t{i}"] * f for i, f in enumerate(factors)]
+    if sum(wanted) <= 0:
+        return docs
+    rated = table.withColumn("rate", rate_of(fit_rates(table, wanted).gradients, k))
+    main = F.get("p", F.lit(0)) >= 0.5
+    full = rated.filter(main).agg(F.sum(n * F.col("rate")) / F.sum(n)).first()[0] or 1.0
+    gone = stage(rated.filter(~main & (_draw(seed) >= F.col("rate") / full)).select(F.xxhash64("doc_id", "th").alias("_row")).distinct())
     row = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    found = probably_in(docs, row, gone.select("_row"), mark="_maybe")
-    clear = found.filter("not _maybe").drop("_maybe")
+    found = probably_in(docs, row, gone, mark="_maybe")
     doubt = found.filter("_maybe").drop("_maybe").withColumn("_row", row)
-    return clear.union(doubt.join(gone.select("_row"), "_row", "left_anti").select(*docs.columns))
+    return found.filter("not _maybe").drop("_maybe").union(doubt.join(gone, "_row", "left_anti").select(*docs.columns))
