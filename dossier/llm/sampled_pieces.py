@@ -29,7 +29,7 @@ from dossier.llm.common import mix64, ragged, text_slices
 SPACE = "▁"
 SAMPLES = 2
 ALPHA = 0.2
-NODE_CACHE = 1 << 21
+NODE_CACHE = 1 << 20
 HASH_BASE = np.uint64(0x100000001B3)
 
 

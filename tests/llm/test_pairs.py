@@ -78,7 +78,21 @@ def test_signatures_meet(threshold):
         extra = int(n / threshold - n + 1e-9)
         left = int(rng.integers(0, extra + 1))
         x, y = np.sort(np.concatenate((shared, base[n : n + left]))), np.sort(np.concatenate((shared, base[n + left : n + extra])))
-        assert set(partenum.signatures(x, threshold)) & set(partenum.signatures(y, threshold)), (n, left, extra)
+        sides = [partenum.signatures(s, threshold) for s in (x, y)]
+        shared = set(sides[0][0]) & set(sides[1][0])
+        assert shared, (n, left, extra)
+        bands = [partenum.band_limits(len(s), threshold)[0] for s in (x, y)]
+        for (_, _, sure), own in zip(sides, bands, strict=True):
+            assert len(shared) >= sure[max(bands) - own]
+
+
+def test_sketches_are_lower_bounds():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 2**64, int(rng.integers(2, 900)), dtype=np.uint64))
+        x, y = (np.sort(rng.choice(base, int(rng.integers(1, len(base))), replace=False)) for _ in "ab")
+        assert partenum.sketch_distance(partenum.odd_sketch(x), partenum.odd_sketch(y)) <= len(np.setxor1d(x, y))
+        assert partenum.sketch_distance(partenum.odd_sketch(x), partenum.odd_sketch(x)) == 0
 
 
 def test_jaccard_against_brute_force(spark):
@@ -98,6 +112,23 @@ def test_jaccard_group_that_no_leader_holds(spark):
     assert {c for _, c in got.values()} == {0}
 
 
+def test_jaccard_with_crowded_lists(spark):
+    """A passage in very many texts, small and large near copies among them: no link gets lost when sets leave crowded lists."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = [f"u{x}" for x in rng.integers(0, 10**6, int(rng.integers(10, 150)))]
+        text = words + passage
+        rows.append((10 * i, " ".join(text)))
+        for j in range(int(rng.integers(0, 3))):
+            text = list(text)
+            text[int(rng.integers(0, len(text)))] = f"x{i}{j}"
+            rows.append((10 * i + j + 1, " ".join(text)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_jaccard_edges(spark, edge_docs, no_docs):
     rows = partenum.jaccard_components(edge_docs).collect()
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows)
