@@ -188,8 +188,30 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _apart(percent: int):
-    """Groups of sets (gid, set_id, root, size, sketch), sorted by gid -> the pairs of different roots that sizes and sketches allow."""
+def _forest(i: np.ndarray, j: np.ndarray, distance: np.ndarray, roots: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of candidate pairs, the nearest ones that join the roots without a circle."""
+    _, at = np.unique(roots, return_inverse=True)
+    up = list(range(int(at.max()) + 1))
+    left = len(up) - 1
+    for k in np.argsort(distance, kind="stable"):
+        x, y = int(at[i[k]]), int(at[j[k]])
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[x] = y
+            left -= 1
+            yield int(i[k]), int(j[k])
+            if not left:
+                return
+
+
+def _apart(percent: int, forest: bool):
+    """Groups of sets (gid, set_id, root, size, sketch), sorted by gid -> pairs of different roots that sizes and sketches allow.
+
+    All of them, or with ``forest`` only as many as could join the group's roots, the nearest first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_a, found_b = [], []
@@ -199,15 +221,20 @@ def _apart(percent: int):
             sums = sizes[:, None] + sizes[None, :]
             may = (roots[:, None] != roots[None, :]) & (100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :]))
             may &= ids[:, None] < ids[None, :]
+            most = sums * (100 - percent) // (100 + percent)
+            apart = np.zeros(may.shape, np.float32)
             if len(ids) > 8:
                 short = min(map(len, sketches))
                 bits = np.stack([(np.unpackbits(np.frombuffer(k, np.uint8)).reshape(8 * short, -1).sum(axis=1, dtype=np.int64) & 1) for k in sketches]).astype(np.float32)
                 ones = bits.sum(axis=1)
-                may &= ones[:, None] + ones[None, :] - 2 * (bits @ bits.T) <= sums * (100 - percent) // (100 + percent)
-            for i, j in zip(*np.nonzero(may), strict=True):
-                if sketch_distance(sketches[i], sketches[j]) <= sums[i, j] * (100 - percent) // (100 + percent):
-                    found_a.append(ids[i])
-                    found_b.append(ids[j])
+                apart = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)
+                may &= apart <= most
+            i, j = np.nonzero(may)
+            pairs = _forest(i, j, apart[i, j], roots) if forest and len(i) else zip(i, j, strict=True)
+            for x, y in pairs:
+                if sketch_distance(sketches[x], sketches[y]) <= most[x, y]:
+                    found_a.append(ids[x])
+                    found_b.append(ids[y])
             if len(found_a) > 50_000:
                 yield pa.record_batch({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
                 found_a, found_b = [], []
@@ -384,20 +411,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     first = stage(verify(stage(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())))
     roots = stage(connected_components(first))
 
-    # What is left are pairs of different components in one list. Lists with the same main component are taken together, in
-    # slices of bounded size, so that a set's sketch goes to few places; slices are compared in blocks.
-    named = lists.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    counted = named.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k"), F.sum("count").alias("rows"))
-    mixed = counted.filter("k > 1").select("bucket", F.col("m.root").alias("main"), "rows")
-    slices = mixed.groupBy("main").agg(F.ceil(F.sum("rows") / SLICE_ROWS).alias("slices"))
-    placed = mixed.join(slices, "main").select("bucket", F.xxhash64("main", F.pmod(F.xxhash64("bucket"), F.col("slices"))).alias("gid"))
-    groups = stage(named.join(placed, "bucket").select("gid", "set_id", "root", "size").distinct())
-    blocks = groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    spread = groups.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    spread = spread.select(F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "set_id", "root", "size")
-    spread = spread.join(known.select("set_id", "sketch"), "set_id").repartition(partitions(spark), "gid").sortWithinPartitions("gid")
-    rest = stage(spread.mapInArrow(_apart(percent), "a long, b long").distinct())
-    edges = first.union(stage(verify(rest)))
+    def rest(roots: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of different components in one list that may link.
+
+        Lists with the same main component are taken together, in slices of bounded size, so that a set's sketch goes to few
+        places; slices are compared in blocks.
+        """
+        named = lists.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        counted = named.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("k"), F.sum("count").alias("rows"))
+        mixed = counted.filter("k > 1").select("bucket", F.col("m.root").alias("main"), "rows")
+        slices = mixed.groupBy("main").agg(F.ceil(F.sum("rows") / SLICE_ROWS).alias("slices"))
+        placed = mixed.join(slices, "main").select("bucket", F.xxhash64("main", F.pmod(F.xxhash64("bucket"), F.col("slices"))).alias("gid"))
+        groups = stage(named.join(placed, "bucket").select("gid", "set_id", "root", "size").distinct())
+        blocks = groups.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+        spread = groups.join(blocks, "gid").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        spread = spread.select(F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")).alias("gid"), "set_id", "root", "size")
+        spread = spread.join(known.select("set_id", "sketch"), "set_id").repartition(partitions(spark), "gid").sortWithinPartitions("gid")
+        return stage(spread.mapInArrow(_apart(percent, forest), "a long, b long").distinct())
+
+    # A leader may be the odd one of its list. So the nearest pairs that could join what is apart come first, then all that still are.
+    edges = first.union(stage(verify(rest(roots, forest=True))))
+    edges = edges.union(stage(verify(rest(stage(connected_components(edges)), forest=False))))
     final = connected_components(edges)
 
     labelled = members.join(final.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
