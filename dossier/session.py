@@ -30,8 +30,15 @@ def local_session(app: str = "dossier", cores: str = "*", partitions: int = 8) -
 _SHIPPED: set[str] = set()
 
 
+ARROW_BATCH = "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Executors need the package for the Arrow functions: hand it out once per application."""
+    """Executors need the package for the Arrow functions: hand it out once per application.
+
+    Arrow batches are cut by bytes, so that a batch of long texts takes no more memory than one of short ones, in the executor
+    and in its Python workers; a size set by the owner of the session stays.
+    """
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -39,6 +46,8 @@ def ship_package(spark: SparkSession) -> None:
         sc.addPyFile(shutil.make_archive(target, "zip", root, "dossier"))
         _SHIPPED.add(sc.applicationId)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if sc.getConf().get("spark.sql.execution.arrow.maxBytesPerBatch") is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
