@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from math import ceil, comb, floor
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -254,8 +253,9 @@ def _pack(sigs: np.ndarray, upper: np.ndarray, owner_of: np.ndarray, index: np.n
         yield int(owner_of[lo]), head + ids[used].tobytes() + sizes[used].tobytes() + local.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes() + six + np.packbits(upper[lo:hi]).tobytes()
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    m, k = np.frombuffer(block, np.uint32, 2)
+def _unpack(block: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, index of each one's set, ids and sizes of the sets, next-band marks)."""
+    m, k = np.frombuffer(block, np.uint32, 2, 0)
     at = 8
     ids = np.frombuffer(block, np.uint64, k, at)
     sizes = np.frombuffer(block, np.uint32, k, at := at + 8 * int(k))
@@ -265,7 +265,7 @@ def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     wide = np.zeros((int(m), 8), np.uint8)
     wide[:, :6] = np.frombuffer(block, np.uint8, 6 * int(m), at).reshape(-1, 6)
     upper = np.unpackbits(np.frombuffer(block, np.uint8, offset=at + 6 * int(m)), count=int(m))
-    return wide.view("<u8").ravel(), ids[local], sizes[local], upper
+    return wide.view("<u8").ravel(), local, ids, sizes, upper
 
 
 def _scan(width: int, threshold: float, owners: int):
@@ -311,22 +311,34 @@ def _scan(width: int, threshold: float, owners: int):
     return run
 
 
-def _meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
+def _meet(blocks: pa.Table) -> pa.Table:
     """One owner's blocks -> the distinct lists of sets that share a signature, as (bucket, set_id, size, upper, times, length) rows.
 
     ``times`` counts the signatures that a list stands for, ``length`` its sets.
     """
-    parts = [_unpack(b) for b in blocks["bytes"]]
-    sigs, ids, sizes, upper = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts = [_unpack(x.as_buffer()) for x in blocks.column("bytes")]
+    sigs = np.concatenate([x[0] for x in parts])
+    shift = np.cumsum([0, *(len(x[2]) for x in parts[:-1])])
+    index = np.concatenate([x[1].astype(np.int32) + np.int32(n) for x, n in zip(parts, shift, strict=True)])
+    every_id, every_size, upper = (np.concatenate([x[k] for x in parts]) for k in (2, 3, 4))
+    del parts
+    order = np.argsort(sigs)
+    sigs = sigs[order]
+    same = sigs[1:] == sigs[:-1]
+    met = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    order, sigs = order[met], sigs[met]
+    ids, sizes, upper = every_id[index[order]], every_size[index[order]], upper[order]
     order = np.lexsort((ids, sigs))
     sigs, ids, sizes, upper = sigs[order], ids[order], sizes[order], upper[order]
-    first = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])))
+    first = np.concatenate(([True], (sigs[1:] != sigs[:-1]) | (ids[1:] != ids[:-1])))[: len(sigs)]
     sigs, ids, sizes, upper = sigs[first], ids[first], sizes[first], upper[first]
+    if not len(sigs):
+        return pa.table({c: np.empty(0, np.int64) for c in ("bucket", "set_id", "size", "upper", "times", "length")})
     starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
     lengths = np.diff(np.append(starts, len(sigs)))
     starts, lengths = starts[lengths > 1], lengths[lengths > 1]
     if not len(starts):
-        return pd.DataFrame({c: np.empty(0, np.int64) for c in ("bucket", "set_id", "size", "upper", "times", "length")})
+        return pa.table({c: np.empty(0, np.int64) for c in ("bucket", "set_id", "size", "upper", "times", "length")})
     rows = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     ends = np.cumsum(lengths) - lengths
     names = mix64(np.add.reduceat(mix64(ids[rows] ^ upper[rows].astype(np.uint64)), ends) ^ lengths.astype(np.uint64))
@@ -336,7 +348,7 @@ def _meet(key: tuple, blocks: pd.DataFrame) -> pd.DataFrame:
     kept = np.zeros(len(names), bool)
     kept[keep] = True
     mask = np.repeat(kept, lengths)
-    return pd.DataFrame({"bucket": np.repeat(names, lengths)[mask].view(np.int64), "set_id": ids[rows][mask].view(np.int64), "size": sizes[rows][mask].astype(np.int64), "upper": upper[rows][mask].astype(np.int64), "times": np.repeat(many, lengths)[mask], "length": np.repeat(lengths, lengths)[mask].astype(np.int64)})
+    return pa.table({"bucket": np.repeat(names, lengths)[mask].view(np.int64), "set_id": ids[rows][mask].view(np.int64), "size": sizes[rows][mask].astype(np.int64), "upper": upper[rows][mask].astype(np.int64), "times": np.repeat(many, lengths)[mask], "length": np.repeat(lengths, lengths)[mask].astype(np.int64)})
 
 
 def _sets(width: int):
@@ -382,7 +394,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     scanned = stage(source.mapInArrow(_scan(width, threshold, owners), "kind long, doc_id long, th long, set_id long, n_shingles long, bytes binary, sure int, sure_next int"))
     members = scanned.filter("kind = 0").select("doc_id", "th", "set_id", "n_shingles")
     blocks = scanned.filter("kind = 1").select(F.col("n_shingles").alias("owner"), "bytes")
-    met = stage(blocks.groupBy("owner").applyInPandas(_meet, "bucket long, set_id long, size long, upper long, times long, length long"))
+    met = stage(blocks.groupBy("owner").applyInArrow(_meet, "bucket long, set_id long, size long, upper long, times long, length long"))
     hits = met.groupBy("set_id", "upper").agg(*[F.sum(F.when(F.col("length") > c, F.col("times")).otherwise(0)).alias(f"h{c}") for c in CROWDS])
     surely = scanned.filter("kind = 0 and n_shingles > 0").select("set_id", F.explode(F.create_map(F.lit(0), "sure", F.lit(1), "sure_next")).alias("upper", "sure"))
     surely = surely.groupBy("set_id", "upper").agg(F.max("sure").alias("sure"))
