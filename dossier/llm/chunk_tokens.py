@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import probably_in, text_slices
+from dossier.llm.common import give_back, probably_in, text_slices
 from dossier.session import stage
 
 CHUNK = 32_768
@@ -59,6 +59,7 @@ def _count(path: str):
             for piece in text_slices(batch, "text", 1 << 20):
                 counts = [len(e) for e in t.encode_batch_fast(piece.column("text").to_pylist(), add_special_tokens=False)]
                 yield pa.record_batch({"doc_id": piece.column("doc_id"), "n_bytes": piece.column("n_bytes"), "n_tokens": pa.array(counts, pa.int64())})
+        give_back()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,14 @@ def text_slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Python workers live on between tasks and would keep the most they ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ragged(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 

@@ -14,7 +14,7 @@ from dossier.llm.common import ragged, text_slices
 
 DIM_BITS = 16
 DIM = 1 << DIM_BITS
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 5000
 WORD_CACHE = 1 << 17
 
 

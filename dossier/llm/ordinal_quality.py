@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import text_slices
+from dossier.llm.common import give_back, text_slices
 from dossier.llm.hashed_text import DIM, SAMPLE_ROWS, WordFeatures, curvature, dots, features, labelled_sample, sparse_rows
 
 STEPS = 150
@@ -90,6 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, grades:
         held = [f for f in frames if len(f)]
         if held:
             model = fit_rows(*sparse_rows(pd.concat(held)), grades)
+            del held
+            give_back()
             yield pd.DataFrame({"weights": [model.weights.tobytes()], "cuts": [model.cuts.tobytes()]})
 
     got = sample.repartition(1).mapInPandas(one, "weights binary, cuts binary").first()

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import mix64, partitions, probably_in, text_slices
+from dossier.llm.common import give_back, mix64, partitions, probably_in, text_slices
 from dossier.llm.components import connected_components
 from dossier.session import stage
 
@@ -307,6 +307,8 @@ def _scan(width: int, threshold: float, owners: int):
                 yield pa.record_batch({"kind": np.zeros(n, np.int64), "doc_id": piece.column("doc_id"), "th": piece.column("th"), "set_id": pa.array(np.array(ids, np.uint64).view(np.int64)), "n_shingles": pa.array(sizes, pa.int64()), "bytes": pa.array(sketches, pa.binary()), "sure": pa.array([x[0] for x in surely], pa.int32()), "sure_next": pa.array([x[1] for x in surely], pa.int32())})
         if held:
             yield from flush()
+        del held, seen, cache
+        give_back()
 
     return run
 
@@ -348,6 +350,7 @@ def _meet(blocks: pa.Table) -> pa.Table:
     kept = np.zeros(len(names), bool)
     kept[keep] = True
     mask = np.repeat(kept, lengths)
+    give_back()
     return pa.table({"bucket": np.repeat(names, lengths)[mask].view(np.int64), "set_id": ids[rows][mask].view(np.int64), "size": sizes[rows][mask].astype(np.int64), "upper": upper[rows][mask].astype(np.int64), "times": np.repeat(many, lengths)[mask], "length": np.repeat(lengths, lengths)[mask].astype(np.int64)})
 
 
@@ -375,6 +378,7 @@ def _linked(percent: int):
                 shared = int((both[1:] == both[:-1]).sum())
                 keep[i] = 100 * shared >= percent * (len(both) - shared)
             yield pa.record_batch({"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))})
+        give_back()
 
     return run
 

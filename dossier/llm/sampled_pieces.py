@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import mix64, ragged, text_slices
+from dossier.llm.common import give_back, mix64, ragged, text_slices
 
 SPACE = "▁"
 SAMPLES = 2
 ALPHA = 0.2
 NODE_CACHE = 1 << 20
+SLOT_BITS = 20
 HASH_BASE = np.uint64(0x100000001B3)
 
 
@@ -68,6 +69,23 @@ class Pieces:
             whole[h] = i
         self.prefixes = np.array(sorted(prefix), np.uint64)
         self.prefix_piece = np.array([whole.get(int(h), -1) for h in self.prefixes], np.int32)
+        # One look finds most prefixes: their place by the mixed hash's leading bits. Slots that several want send to a search.
+        slot = (mix64(self.prefixes) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.crowded = np.bincount(slot, minlength=1 << SLOT_BITS) > 1
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash among the prefixes, -1 for none."""
+        slot = (mix64(h) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at = self.slots[slot]
+        hit = (at >= 0) & (self.prefixes[at] == h)
+        rest = np.flatnonzero(~hit & self.crowded[slot])
+        at[~hit] = -1
+        if len(rest):
+            found = np.minimum(np.searchsorted(self.prefixes, h[rest]), len(self.prefixes) - 1)
+            at[rest] = np.where(self.prefixes[found] == h[rest], found, -1)
+        return at
 
 
 @lru_cache(maxsize=2)
@@ -76,6 +94,18 @@ def pieces(path: str, alpha: float) -> Pieces:
     return Pieces(path, alpha)
 
 
+class Starts(dict):
+    """Word -> first node; a new word is listed and gets -1, -2, ... until its lattice is there."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = -len(self.new)
+        return -len(self.new)
+
+
 class Lattices:
     """Word lattices, one node per character, appended word by word; edge probabilities are conditional on the node."""
 
@@ -84,7 +114,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words = Starts()
         self.first = np.empty(0, np.int64)  # of a node: its first edge
         self.above = np.empty(0)  # of an edge: node number + probability of the node's edges up to it
         self.piece = np.empty(0, np.int32)
@@ -93,15 +123,18 @@ class Lattices:
 
     def starts(self, words: list[str]) -> np.ndarray:
         """First node of each word; unknown words are added together."""
-        new = list(dict.fromkeys(w for w in words if w not in self.words))
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        new, self.words.new = self.words.new, []
+        if len(self.first) and new and len(self.first) + sum(map(len, new)) > NODE_CACHE:
+            self.clear()
+            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            new, self.words.new = self.words.new, []
         if new:
-            if len(self.first) and len(self.first) + sum(map(len, new)) > NODE_CACHE:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            self._add(new)
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            places = self._add(new)
+            at = np.where(at < 0, places[np.clip(-at - 1, 0, len(new) - 1)], at)
+        return at
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, words: list[str]) -> np.ndarray:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -116,8 +149,8 @@ class Lattices:
                 break
             with np.errstate(over="ignore"):
                 h = h * HASH_BASE + text[alive + k - 1] + np.uint64(1)
-            at = np.minimum(np.searchsorted(self.v.prefixes, h), len(self.v.prefixes) - 1)
-            hit = self.v.prefixes[at] == h
+            at = self.v.find(h)
+            hit = at >= 0
             alive, h, at = alive[hit], h[hit], at[hit]
             found = self.v.prefix_piece[at]
             is_piece = found >= 0
@@ -161,7 +194,9 @@ class Lattices:
         self.first = np.concatenate((self.first, first[:-1] + shift))
         self.above = np.concatenate((self.above, above + src + base))
         self.piece, self.length, self.logp = np.concatenate((self.piece, piece.astype(np.int32))), np.concatenate((self.length, length.astype(np.int32))), np.concatenate((self.logp, logp))
-        self.words.update(zip(words, (base + ends - sizes).tolist(), strict=True))
+        places = base + ends - sizes
+        self.words.update(zip(words, places.tolist(), strict=True))
+        return places
 
     def edges(self, node: int) -> slice:
         return slice(self.first[node], self.first[node + 1] if node + 1 < len(self.first) else len(self.piece))
@@ -339,6 +374,8 @@ def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, al
                     "doc_id": piece.column("doc_id").take(pa.array(which)), "sample": pa.array(rank, pa.int32()), "ids": ragged(np.concatenate(([0], np.cumsum(sizes))), np.concatenate(ids), pa.int32()),
                     "n_pieces": pa.array(sizes), "log_prob": pa.array(lp, pa.float64()), "perturbed": pa.array(g, pa.float64()), "log_inclusion": pa.array(q, pa.float64()),
                 })
+        del sampler
+        give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit("row"), F.col("doc_id").cast("long")).alias("key"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, sample int, ids array<int>, n_pieces long, log_prob double, perturbed double, log_inclusion double")

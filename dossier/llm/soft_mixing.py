@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import probably_in, text_slices
+from dossier.llm.common import give_back, probably_in, text_slices
 from dossier.llm.hashed_text import DIM, SAMPLE_ROWS, WordFeatures, curvature, dots, features, labelled_sample, sparse_rows
 from dossier.session import stage
 
@@ -79,6 +79,8 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column | None = None, domain
         held = [f for f in frames if len(f)]
         if held:
             model = fit_rows(*sparse_rows(pd.concat(held)), domains)
+            del held
+            give_back()
             yield pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias.tobytes()]})
 
     got = sample.repartition(1).mapInPandas(one, "weights binary, bias binary").first()
