@@ -47,7 +47,7 @@ def prefix_scan(
 ) -> DataFrame:
     """Add one running column per spec: name -> (op, value) with op sum, max, min or last.
 
-    ``order`` is a bigint, unique within the keys; keys must not be null. Rows up to the current one
+    ``order`` is a bigint, unique within the keys; a null key is a key like any other. Rows up to the current one
     count; with ``exclusive`` only the rows before it. ``single_block`` skips the carry when the
     caller has checked that all rows share one block (see fits_one_block).
     """
@@ -67,9 +67,14 @@ def prefix_scan(
     )
     before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *keys, blk, *[_running(op, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (op, _) in specs.items()]
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col(blk).alias("_k_blk"),
+        *[_running(op, F.col(f"_t_{n}")).over(before).alias(f"_c_{n}") for n, (op, _) in specs.items()],
     )
-    joined = local.join(carry, [*keys, blk], "inner")
+    same = F.col(blk).eqNullSafe(F.col("_k_blk"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = local.join(carry, same, "inner")
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_merge(op, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (op, _) in specs.items()],

@@ -526,3 +526,15 @@ def test_context_pieces_join_to_the_whole(spark):
                 whole[r.patient] = whole.get(r.patient, "") + r.text
             texts.append(whole)
         assert texts[0] == texts[1] and len(texts[0]) == 15
+
+
+def test_scan_keeps_rows_with_null_keys(spark):
+    from pyspark.sql import functions as F
+
+    from dossier.operators.scans import prefix_scan
+
+    rows = [(None, 0, 1), (None, 5, 2), ("a", 1, 4), ("a", 6, 8), (None, 9, 16)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    for single in (False, True):
+        got = prefix_scan(df, ["k"], "o", {"run": ("sum", F.col("v"))}, block_bits=40 if single else 2, single_block=single)
+        assert {(r["k"], r["o"]): r["run"] for r in got.collect()} == {(None, 0): 1, (None, 5): 3, ("a", 1): 4, ("a", 6): 12, (None, 9): 19}
