@@ -88,10 +88,11 @@ def extract_claims(
 ) -> DataFrame:
     """Sentences of the ranked sources that state a claim, distinct per request, first eight in source order.
 
-    ``sources``: request_id, source_rank, url, source_tier, text.
+    ``sources``: request_id, source_rank, url, source_tier, text, and optionally snippet, which stands in for a null or empty text.
     """
+    body = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("snippet")) if "snippet" in sources.columns else F.col("text")
     s = sources.select(
-        "request_id", "source_rank", "url", "source_tier", F.posexplode(sentences(F.col("text"), need_capital=False)).alias("pos", "raw")
+        "request_id", "source_rank", "url", "source_tier", F.posexplode(sentences(body, need_capital=False)).alias("pos", "raw")
     )
     c = s.withColumn("claim", strip(F.regexp_replace("raw", WS + "+", " "))).drop("raw")
     c = c.filter((F.length("claim") >= MIN_CLAIM_CHARS) & contains_any(F.lower("claim"), keywords))

@@ -232,7 +232,7 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
         "url",
         web.host(F.col("url")).alias("domain"),
         web.page_title(F.col("html")).alias("title"),
-        F.substring(text, 1, 200).alias("snippet"),
+        F.substring(text, 1, web.SNIPPET_CHARS).alias("snippet"),
         text.alias("text"),
         F.when(p % 4 == 1, "2024-03-01").when(p % 4 == 2, "Updated May 2013").when(p % 4 == 3, "2018").alias("date"),
     ).withColumn("query", _question(F.col("request_id")))
@@ -243,7 +243,7 @@ _RESULTS = f"""res as (
          {_page_text_sql('html', web.TEXT_TAGS)} as text,
          case page_id % 4 when 1 then '2024-03-01' when 2 then 'Updated May 2013' when 3 then '2018' end as date,
          case page_id % 4 when 1 then 2024 when 2 then 2013 when 3 then 2018 end as year from pages),
-res1 as (select *, left(text, 200) as snippet, {_TIER} as tier,
+res1 as (select *, left(text, 500) as snippet, {_TIER} as tier,
    contains(host, 'blog') or contains(host, 'forum') or contains(host, 'substack') or contains(host, 'medium.com') as rejected from res),
 res2 as (select *, lower(concat_ws(' ', title, snippet, host)) as hay, lower(concat_ws(' ', title, snippet)) as ts,
    list_distinct(['latest','recommendations','that','the','ation'] || list_filter([request_id], lambda t: length(t) > 2)) as terms from res1),

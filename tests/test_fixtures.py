@@ -538,3 +538,12 @@ def test_scan_keeps_rows_with_null_keys(spark):
     for single in (False, True):
         got = prefix_scan(df, ["k"], "o", {"run": ("sum", F.col("v"))}, block_bits=40 if single else 2, single_block=single)
         assert {(r["k"], r["o"]): r["run"] for r in got.collect()} == {(None, 0): 1, (None, 5): 3, ("a", 1): 4, ("a", 6): 12, (None, 9): 19}
+
+
+def test_claims_of_sources_without_text(spark):
+    from dossier.operators.evidence import CLAIM_KEYWORDS, extract_claims
+
+    said = f"This long enough sentence about the matter says that {CLAIM_KEYWORDS[0]} was clearly seen in many people."
+    rows = [(1, 1, "u", 1, None, said), (2, 1, "u", 1, "", said), (3, 1, "u", 1, said, "Other."), (4, 1, "u", 1, None, None)]
+    sources = spark.createDataFrame(rows, "request_id long, source_rank int, url string, source_tier int, text string, snippet string")
+    assert sorted(r["request_id"] for r in extract_claims(sources).collect()) == [1, 2, 3]
