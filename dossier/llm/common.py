@@ -32,9 +32,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of uint64."""
     with np.errstate(over="ignore"):
         x = x + GOLDEN
-        x = (x ^ (x >> np.uint64(30))) * MIX_A
-        x = (x ^ (x >> np.uint64(27))) * MIX_B
-        return x ^ (x >> np.uint64(31))
+        x ^= x >> np.uint64(30)
+        x *= MIX_A
+        x ^= x >> np.uint64(27)
+        x *= MIX_B
+        x ^= x >> np.uint64(31)
+        return x
 
 
 def text_slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

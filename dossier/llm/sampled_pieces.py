@@ -3,8 +3,9 @@
 A text's lattice holds every way to write it in pieces of the vocabulary; a segmentation has the probability
 exp(sum of piece weights) / Z. The search tree branches on the next piece. With backward sums over the lattice the
 mass of every subtree is known, so the search can carry the largest Gumbel-perturbed log-probability of each
-subtree and always opens the best one (A*, the bound is exact): the child that wins inherits the maximum,
-the siblings together get a Gumbel cut off below it and wait in the queue. The i-th complete text taken from the queue is
+subtree and always opens the best one (A*, the bound is exact): the path that wins inherits the maximum,
+all subtrees that branch off it together get one Gumbel cut off below it and wait in the queue. Opened, that set gives up one
+subtree, drawn by mass, and the others wait on below its value. The i-th complete text taken from the queue is
 the i-th sample without replacement, and the next best value gives the inclusion scores.
 
 No piece holds a space symbol after another character, so a lattice is a chain of word lattices; these are kept per word,
@@ -18,20 +19,24 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, expm1, log, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import give_back, mix64, ragged, text_slices
+from dossier.llm.common import GOLDEN, MIX_A, MIX_B, give_back, mix64, ragged, text_slices
 
 SPACE = "▁"
 SAMPLES = 2
 ALPHA = 0.2
-NODE_CACHE = 1 << 20
+NODE_CACHE = 1 << 21
 SLOT_BITS = 20
 HASH_BASE = np.uint64(0x100000001B3)
+MASK = 0xFFFFFFFFFFFFFFFF
+SURE = -1e-12
+VANISHED = -745.0  # exp() of less is 0 in double precision
 
 
 class Pieces:
@@ -115,20 +120,19 @@ class Lattices:
 
     def clear(self) -> None:
         self.words = Starts()
-        self.first = np.empty(0, np.int64)  # of a node: its first edge
+        self.first = np.empty(0, np.int32)  # of a node: its first edge
+        self.left = np.empty(0, np.int32)  # of a node: characters to its word's end
         self.above = np.empty(0)  # of an edge: node number + probability of the node's edges up to it
         self.piece = np.empty(0, np.int32)
-        self.length = np.empty(0, np.int32)
+        self.length = np.empty(0, np.int16)
         self.logp = np.empty(0)
 
     def starts(self, words: list[str]) -> np.ndarray:
         """First node of each word; unknown words are added together."""
+        if len(self.first) > NODE_CACHE:
+            self.clear()
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         new, self.words.new = self.words.new, []
-        if len(self.first) and new and len(self.first) + sum(map(len, new)) > NODE_CACHE:
-            self.clear()
-            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-            new, self.words.new = self.words.new, []
         if new:
             places = self._add(new)
             at = np.where(at < 0, places[np.clip(-at - 1, 0, len(new) - 1)], at)
@@ -191,9 +195,10 @@ class Lattices:
         above = np.minimum(run - before[src], 1.0)
         above[first[1:] - 1] = 1.0
         shift = len(self.piece)
-        self.first = np.concatenate((self.first, first[:-1] + shift))
+        self.first = np.concatenate((self.first, (first[:-1] + shift).astype(np.int32)))
+        self.left = np.concatenate((self.left, left.astype(np.int32)))
         self.above = np.concatenate((self.above, above + src + base))
-        self.piece, self.length, self.logp = np.concatenate((self.piece, piece.astype(np.int32))), np.concatenate((self.length, length.astype(np.int32))), np.concatenate((self.logp, logp))
+        self.piece, self.length, self.logp = np.concatenate((self.piece, piece.astype(np.int32))), np.concatenate((self.length, length.astype(np.int16))), np.concatenate((self.logp, logp))
         places = base + ends - sizes
         self.words.update(zip(words, places.tolist(), strict=True))
         return places
@@ -202,9 +207,8 @@ class Lattices:
         return slice(self.first[node], self.first[node + 1] if node + 1 < len(self.first) else len(self.piece))
 
     def walk(self, nodes: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Draw edges from each node to its word's end: (walker, edge) pairs in walking order. ``keys`` seed each walker."""
-        who, out_who, out_edge = np.arange(len(nodes)), [], []
-        nodes, ends, keys = nodes.copy(), ends, keys
+        """Draw edges from each node to its word's end: edges of all walkers one after the other, and how many each has. ``keys`` seed each walker."""
+        who, taken, rounds = np.arange(len(nodes)), np.zeros(len(nodes), np.int64), []
         live = nodes < ends
         who, nodes, ends, keys = who[live], nodes[live], ends[live], keys[live]
         while len(nodes):
@@ -214,14 +218,16 @@ class Lattices:
             while len(late):
                 edge[late] += 1
                 late = late[self.above[edge[late]] <= aim[late]]
-            out_who.append(who)
-            out_edge.append(edge)
+            rounds.append((who, edge))
+            taken[who] += 1
             nodes = nodes + self.length[edge]
             live = nodes < ends
             who, nodes, ends, keys = who[live], nodes[live], ends[live], keys[live]
-        if not out_who:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(out_who), np.concatenate(out_edge)
+        edges = np.empty(int(taken.sum()), np.int64)
+        at = np.cumsum(taken) - taken
+        for step, (who, edge) in enumerate(rounds):
+            edges[at[who] + step] = edge
+        return edges, taken
 
 
 def uniform(keys: np.ndarray) -> np.ndarray:
@@ -229,12 +235,19 @@ def uniform(keys: np.ndarray) -> np.ndarray:
     return ((mix64(keys) >> np.uint64(12)).astype(np.float64) + 0.5) / float(1 << 52)
 
 
-def cut_gumbel(log_mass: np.ndarray, bound: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Gumbel maxima of subtrees with the given log masses, conditioned to lie below ``bound``."""
-    with np.errstate(divide="ignore", over="ignore"):
-        e = -np.log(uniform(keys))
-        # exp(-g) = exp(-bound) + e / mass
-        return -np.logaddexp(-bound, np.log(e) - log_mass)
+def uniform_of(key: int) -> float:
+    """The number that ``uniform`` gives for one key."""
+    x = key + int(GOLDEN) & MASK
+    x = (x ^ x >> 30) * int(MIX_A) & MASK
+    x = (x ^ x >> 27) * int(MIX_B) & MASK
+    return (((x ^ x >> 31) >> 12) + 0.5) / float(1 << 52)
+
+
+def cut_gumbel(log_mass: float, bound: float, u: float) -> float:
+    """Gumbel maximum of subtrees with the given log mass, conditioned to lie below ``bound``, from a number in (0, 1)."""
+    # exp(-g) = exp(-bound) + e / mass, with e = -log(u)
+    a, b = -bound, log(-log(u)) - log_mass
+    return -(max(a, b) + log1p(exp(-abs(a - b))))
 
 
 def log_inclusion(x: float) -> float:
@@ -253,86 +266,87 @@ class Sampler:
     def run(self, texts: list[str | None], keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
         """(text, sample, edges as piece ids, log-probability, perturbed value, log of the inclusion score) of each sample."""
         split = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        flat = [w for words in split for w in words]
-        start = self.lattices.starts(flat)
-        size = np.fromiter(map(len, flat), np.int64, len(flat))
+        start = self.lattices.starts([w for words in split for w in words])
+        size = self.lattices.left[start].astype(np.int64)
         bounds = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
         base = mix64(keys ^ mix64(np.full(len(keys), self.seed, np.uint64)))
         order = np.cumsum(size) - size  # position of each word in the batch, to tell repeated words of a text apart
         queues: list[list] = [[] for _ in texts]
         done: list[list] = [[] for _ in texts]
         live = [i for i, words in enumerate(split) if words]
-        todo = [(i, -1, bounds[i], None, None, -np.log(-np.log(uniform(base[i : i + 1])))[0], 0.0) for i in live]
+        bases = base.tolist()
+        todo = [(i, int(bounds[i]), None, None, -log(-log(uniform_of(bases[i]))), 0.0) for i in live]
         for r in range(self.samples):
             # Walk all opened subtrees of this round to complete texts.
-            spans = [(int(w), int(bounds[i + 1])) for i, _, w, *_ in todo]
-            count = np.array([b - a for a, b in spans], np.int64)
-            if not len(count):
+            if not todo:
                 break
-            words = np.repeat([a for a, _ in spans], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            owner = np.repeat(np.arange(len(todo)), count)
-            nodes, ends = start[words].copy(), start[words] + size[words]
+            begin = np.array([x[1] for x in todo])
+            count = bounds[np.array([x[0] for x in todo]) + 1] - begin
             heads = np.cumsum(count) - count
-            for t, (_, _, _, at, *_) in enumerate(todo):
+            words = np.repeat(begin - heads, count) + np.arange(count.sum())
+            nodes, ends = start[words], start[words] + size[words]
+            for t, (_, _, at, *_) in enumerate(todo):
                 if at is not None:
                     nodes[heads[t]] = at
-            text_of = np.array([x[0] for x in todo])[owner]
+            text_of = np.repeat(np.array([x[0] for x in todo]), count)
             seeds = mix64(base[text_of] ^ mix64((order[words] - order[bounds[text_of]]).astype(np.uint64) + np.uint64((r + 1) << 48)))
-            who, edge = self.lattices.walk(nodes, ends, seeds)
-            # Walkers took steps in turn; put each text's edges back in reading order.
-            back = np.argsort(who, kind="stable")
-            who, edge = who[back], edge[back]
-            cuts = np.searchsorted(owner[who], np.arange(len(todo) + 1))
-            fresh = []
-            for t, (i, _, _, _, prefix, g, mass) in enumerate(todo):
-                own, words_of = edge[cuts[t] : cuts[t + 1]], words[who[cuts[t] : cuts[t + 1]]]
-                lp = self.lattices.logp[own]
-                total = mass + float(lp.sum())
-                path = own if prefix is None else np.concatenate((prefix[0], own))
-                done[i].append((path, total, g))
-                need = self.samples - r
-                with np.errstate(divide="ignore"):
-                    rest = np.log(-np.expm1(np.minimum(lp, 0.0)))
-                reach = mass + np.cumsum(lp) - lp
-                off = reach + rest
-                off[lp > -1e-12] = -np.inf
-                some = np.flatnonzero(off > -np.inf)
-                if len(some):
-                    k = (base[i] ^ mix64(np.array([r + 77], np.uint64))) + some.astype(np.uint64) * np.uint64(2) + np.uint64(1)
-                    gs = cut_gumbel(off[some], np.full(len(some), g), mix64(k))
-                    for j in np.argsort(-gs, kind="stable")[:need]:
-                        s = int(some[j])
-                        heapq.heappush(queues[i], (-gs[j], len(done[i]), s, int(words_of[s]), path[: len(path) - len(own) + s], float(reach[s]), (int(own[s]),)))
+            edges, taken = self.lattices.walk(nodes, ends, seeds)
+            word_cuts = np.concatenate(([0], np.cumsum(taken)))
+            chances = self.lattices.logp[edges]
+            for t, (i, _, _, prefix, g, mass) in enumerate(todo):
+                lo, hi = word_cuts[heads[t]], word_cuts[heads[t] + count[t]]
+                lp = chances[lo:hi]
+                gain = float(lp.sum())
+                path = edges[lo:hi] if prefix is None else np.concatenate((prefix, edges[lo:hi]))
+                done[i].append((path, mass + gain, g))
+                if len(lp) and lp.min() < SURE:
+                    value = cut_gumbel(mass + log(-expm1(gain)), g, uniform_of(bases[i] ^ (r + 77) * int(GOLDEN) & MASK))
+                    ends_of = word_cuts[heads[t] + 1 : heads[t] + count[t] + 1] - lo
+                    heapq.heappush(queues[i], (-value, r, 0, len(path) - (hi - lo), path, lp, begin[t], ends_of, mass, ()))
             if r + 1 == self.samples:
                 break
-            for i in live:
-                if queues[i]:
-                    fresh.append(self._open(i, queues[i], base[i], r))
-            todo = fresh
+            todo = [self._open(i, queues[i], bases[i], r) for i in live if queues[i]]
         for i, found in enumerate(done):
             limit = -queues[i][0][0] if queues[i] else -np.inf
             for rank, (path, total, g) in enumerate(found):
                 yield i, rank, path, total, float(g), log_inclusion(total - limit)
 
-    def _open(self, i: int, queue: list, base: np.uint64, r: int) -> tuple:
-        """Take the best waiting siblings, choose the winner among them and leave the others waiting below its value."""
-        value, tag, s, word, prefix, reach, taken = heapq.heappop(queue)
+    def _open(self, i: int, queue: list, base: int, r: int) -> tuple:
+        """Take the best waiting set of subtrees, draw one of them by mass and leave the others waiting below its value.
+
+        The set holds what branches off a path behind its first ``skip`` edges, less the ``gone`` (place, edge) pairs.
+        Branches whose share is 0 in double precision are left out of the draw.
+        """
+        value, tag, times, skip, path, lp, word, ends_of, mass, gone = heapq.heappop(queue)
         lat = self.lattices
-        last = taken[0]
-        node = int(lat.above[last] - 1e-9) if lat.above[last] == int(lat.above[last]) else int(lat.above[last])
-        span = lat.edges(node)
-        edges = np.array([e for e in range(span.start, span.stop) if e not in taken])
+        before = np.cumsum(lp) - lp
+        before = before[: int(np.searchsorted(-before, -VANISHED, side="right"))]
+        share = np.where(lp[: len(before)] < SURE, np.exp(before) * -np.expm1(lp[: len(before)]), 0.0)
+
+        def others(s: int, gone: tuple) -> np.ndarray:
+            own = int(path[skip + s])
+            node = int(np.searchsorted(lat.first, np.int32(own), side="right")) - 1
+            span = lat.edges(node)
+            out = {own} | {e for at, e in gone if at == s}
+            return np.array([e for e in range(span.start, span.stop) if e not in out], np.int64)
+
+        for s in {at for at, _ in gone}:
+            share[s] = exp(before[s]) * np.exp(lat.logp[others(s, gone)]).sum()
+        sums = np.cumsum(share)
+        spot = mix64(np.array([base + (r + 1 << 40) & MASK, base + (r + 1 << 41) & MASK, base + (r + 1 << 42) & MASK], np.uint64))
+        u = uniform(spot)
+        s = min(int(np.searchsorted(sums, u[0] * sums[-1], side="right")), int(np.flatnonzero(share)[-1]))
+        edges = others(s, gone)
         p = np.exp(lat.logp[edges])
-        u = float(uniform(np.array([int(base) + 7919 * (s + 1) + (r << 40) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
-        win = int(edges[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(edges) - 1)])
-        g = -value
-        left = p.sum() - np.exp(lat.logp[win])
-        if len(edges) > 1 and left > 0:
-            key = np.array([int(base) + 104729 * (s + 1) + (r + 1 << 41) & 0xFFFFFFFFFFFFFFFF], np.uint64)
-            other = float(cut_gumbel(np.array([reach + np.log(left)]), np.array([g]), key)[0])
-            heapq.heappush(queue, (-other, tag, s, word, prefix, reach, (*taken, win)))
-        path = np.concatenate((prefix, [win])).astype(np.int64)
-        return i, tag, word, node + int(lat.length[win]), (path,), g, reach + float(lat.logp[win])
+        win = int(edges[min(int(np.searchsorted(np.cumsum(p), u[1] * p.sum(), side="right")), len(edges) - 1)])
+        gone = (*gone, (s, win))
+        share[s] = exp(before[s]) * np.exp(lat.logp[others(s, gone)]).sum()
+        left = float(share.sum())
+        if left > 0:
+            heapq.heappush(queue, (-cut_gumbel(mass + log(left), -value, float(u[2])), tag, times + 1, skip, path, lp, word, ends_of, mass, gone))
+        node = int(np.searchsorted(lat.first, np.int32(win), side="right")) - 1
+        at_word = int(word) + int(np.searchsorted(ends_of, s, side="right"))
+        return i, at_word, node + int(lat.length[win]), np.concatenate((path[: skip + s], [win])), -value, mass + float(before[s]) + float(lat.logp[win])
 
     def ids(self, path: np.ndarray, text: str) -> np.ndarray:
         """Piece ids of a path; characters without a piece become their UTF-8 bytes."""
