@@ -32,9 +32,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Poor and toxic text is thinned so that its shares fall to a half and a quarter; documents that are mostly clean stay."""
+    """Poor and toxic text is thinned towards a half and a quarter of its shares; documents that are mostly clean stay.
+
+    The model is fitted on the labels of the whole table, as few of the poor and toxic documents get this far.
+    """
     ship_package(spark)
-    return soft_mixing.thin(docs, table(spark, sf_dir, "labels"))
+    return soft_mixing.thin(docs, table(spark, sf_dir, "labels"), labelled=table(spark, sf_dir, "documents"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

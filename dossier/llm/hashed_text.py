@@ -77,7 +77,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: int = SAMPLE_ROWS, seed: int = 1, fold: int | None = None) -> DataFrame:
-    """(target, index, value) of at most ``rows`` labelled documents, those with the smallest hash of the id.
+    """(target, index, value) of at most ``rows`` labelled documents, those with the smallest hash of the id. Labels without a document take no place.
 
     ``target`` is an int column over ``labels``; rows where it or the id is null are left out. ``fold`` 0 or 1 takes only
     ids with an even or an odd hash, to try a model on rows it has not seen. The sample has a fixed bound, so its broadcast has one too.
@@ -87,8 +87,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: in
     wanted = wanted.filter("doc_id is not null and target is not null").distinct()
     if fold is not None:
         wanted = wanted.filter(F.pmod("h", F.lit(2)) == fold)
-    wanted = wanted.orderBy("h", "target").limit(rows).select("doc_id", "target")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wanted = wanted.join(texts.select("doc_id"), "doc_id", "left_semi")
+    wanted = wanted.orderBy("h", "target").limit(rows).select("doc_id", "target")
     return texts.join(F.broadcast(wanted), "doc_id").select("target", "text").mapInArrow(_extract, "target int, index array<int>, value array<float>")
 
 

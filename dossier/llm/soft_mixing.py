@@ -179,14 +179,22 @@ def decide(table: DataFrame, fitted: Mix, seed: int) -> DataFrame:
     return rated.withColumn("copies", (F.floor("rate") + (_draw(seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
 
 
-def thin(docs: DataFrame, labels: DataFrame, factors: Sequence[float] = FACTORS, seed: int = 11) -> DataFrame:
+def shares(table: DataFrame, domains: int = len(DOMAINS)) -> tuple[float, ...]:
+    """The share of each domain in the expected tokens of written posteriors; zeros without tokens."""
+    got = table.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.get("p", F.lit(i))), F.lit(0.0)) for i in range(domains)]).first()
+    return tuple(float(x) / (sum(got) or 1.0) for x in got)
+
+
+def thin(docs: DataFrame, labels: DataFrame, factors: Sequence[float] = FACTORS, seed: int = 11, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` left when each domain's share is scaled by its factor, with all their columns.
 
     Shares do not change when all rates are divided by one number, so a row stays with the probability of its rate over the mean rate
-    of the rows that are mostly of the first domain; those rows always stay. Rows go by id and text; an empty table
-    gives no rows.
+    of the rows that are mostly of the first domain; those rows always stay, so the shares reached lie above the targets by
+    what such rows hold of the other domains (see ``shares``). Rows go by id and text; an empty table gives no rows.
+    ``labelled`` has the documents that the model is fitted on, by default ``docs``: pass the whole table when ``docs`` was
+    filtered by what the labels say.
     """
-    table = stage(posteriors(docs, fit(docs, labels)))
+    table = stage(posteriors(docs, fit(docs if labelled is None else labelled, labels)))
     k, n = len(factors), F.col("n_tokens")
     have = table.agg(*[F.coalesce(F.sum(n * F.get("p", F.lit(i))), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
     wanted = [have[f"t{i}"] * f for i, f in enumerate(factors)]

@@ -127,6 +127,27 @@ def test_mix_of_edges(spark, made, edge_docs, no_docs):
     assert soft_mixing.mix(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_labels_without_documents_take_no_place(spark, made):
+    docs, labels = made
+    strange = spark.range(100_000, 140_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    held = labelled_sample(docs, labels.union(strange), ordinal_quality.graded(labels), rows=500)
+    assert held.count() == 500
+
+
+def test_thinning_of_filtered_rows(spark, made):
+    """What a filter has left of the poor and toxic text is found by a model of the whole table, and the shares fall."""
+    docs, labels = made
+    rows = docs.join(labels, "doc_id").withColumn("bad", F.expr("quality = 0 or toxic = 1")).withColumn("copy", F.expr("doc_id + 1000000"))
+    left = rows.filter("not bad").select("doc_id", "text").union(rows.filter("bad and doc_id % 20 = 0").select("copy", "text")).cache()
+    bad = left.filter("doc_id >= 1000000").count()
+    kept = soft_mixing.thin(left, labels, labelled=docs).cache()
+    assert bad >= 30 and kept.filter("doc_id >= 1000000").count() <= 0.7 * bad
+    assert kept.filter("doc_id < 1000000").count() >= 0.98 * left.filter("doc_id < 1000000").count()
+    model = soft_mixing.fit(docs, labels)
+    before, after = (soft_mixing.shares(soft_mixing.posteriors(t, model)) for t in (left, kept))
+    assert after[1] < before[1] and after[2] < before[2] and abs(sum(after) - 1) < 1e-9
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version on what its predecessor kept."""
     import corpus_pipeline as pipeline
