@@ -2,7 +2,8 @@
 
 Candidates are found in whole texts. Their hashes are counted by distinct repositories and distinct owners over
 all rows: a value that many owners have is a copied example, one that a single owner has looks live. That count decides the
-spans the method adds: opaque strings outside the base kinds are reported where one owner alone has them.
+spans the method adds: opaque strings outside the base kinds join the spans where one owner alone has them. All opaque
+strings are listed apart with their class.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "opaque")
 
 #: A run that mixes capitals, small letters and digits like a generated key does.
-OPAQUE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{28,128}(?![A-Za-z0-9_-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{28,}(?![A-Za-z0-9_-])")
 OPAQUE_PARTS = (re.compile(r"[A-Z].*[A-Z].*[A-Z]"), re.compile(r"[a-z].*[a-z].*[a-z]"), re.compile(r"[0-9].*[0-9].*[0-9]"))
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
@@ -76,10 +77,11 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, owner: Column, repository: Column, owners_of_example: int = OWNERS_OF_EXAMPLE) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_owned, n_shared for every row of ``docs``.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_owned, n_shared, opaque_spans for every row of ``docs``.
 
     ``spans`` joins kind:start:end of all spans by start, then kind; base spans always stay, opaque ones where one owner has
-    the value. Base spans count as n_example with ``owners_of_example`` owners or more, as n_owned with one, else as n_shared.
+    the value. ``opaque_spans`` joins class:start:end of every opaque span, whatever its class. Base spans count as n_example with ``owners_of_example`` owners or more, as n_owned with one, else as n_shared;
+    the classes of opaque spans are example, owned and shared by the same bounds.
     Offsets are code points, ends exclusive. Null and empty texts have no spans and the hash of the empty string. Repeated
     rows give repeated results; an empty table gives no rows; other columns are ignored.
     """
@@ -94,17 +96,20 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column, owners_of_e
     label = F.concat_ws(":", F.get(names, F.col("kind")), F.col("start").cast("string"), F.col("end").cast("string"))
     count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     base = F.col("kind") < 3
+    kind = F.when(F.col("n_owners") >= owners_of_example, "example").when(F.col("n_owners") == 1, "owned").otherwise("shared")
+    classed = F.concat_ws(":", kind, F.col("start").cast("string"), F.col("end").cast("string"))
     per_row = judged.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.when(keep, F.struct("start", "kind", label.alias("label"))))).alias("labels"),
+        F.array_sort(F.collect_list(F.when(~base, F.struct("start", "kind", classed.alias("label"))))).alias("opaque"),
         count(base & (F.col("n_owners") >= owners_of_example)).alias("n_example"),
         count(base & (F.col("n_owners") == 1)).alias("n_owned"),
         count(base & (F.col("n_owners") > 1) & (F.col("n_owners") < owners_of_example)).alias("n_shared"),
     )
-    columns = ["doc_id", "spans", "base_sha256", "labels", "n_example", "n_owned", "n_shared"]
+    columns = ["doc_id", "spans", "base_sha256", "labels", "n_example", "n_owned", "n_shared", "opaque"]
     some = scanned.filter("size(spans) > 0").join(per_row, "_row").select(*columns)
     none = scanned.filter("size(spans) = 0").select("doc_id", "spans", "base_sha256", *[F.lit(None).cast(per_row.schema[c].dataType).alias(c) for c in columns[3:]])
     joined = some.union(none)
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    text = F.coalesce(F.array_join(F.transform("labels", lambda x: x["label"]), ","), F.lit(""))
-    return joined.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), "base_sha256", text.alias("spans"), zero("n_example"), zero("n_owned"), zero("n_shared"))
+    text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x["label"]), ","), F.lit(""))
+    return joined.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"), "base_sha256", text("labels").alias("spans"), zero("n_example"), zero("n_owned"), zero("n_shared"), text("opaque").alias("opaque_spans"))

@@ -118,6 +118,17 @@ def test_secrets(spark):
     assert secret_owners.find_secrets(docs.limit(0), F.col("o"), F.col("r")).count() == 0
 
 
+def test_every_opaque_span_has_a_class(spark):
+    long = KEY * 6
+    rows = [(1, f"a {KEY}", "o1"), (2, f"b {KEY} {long}", "o2"), (3, f"c {'Q' + KEY}", "o1"), (4, f"{'R' + KEY}", "o1"), (5, f"{'R' + KEY}", "o2"), (6, f"{'R' + KEY}", "o3"), (7, "none", "o1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, o string")
+    got = {r["doc_id"]: (r["opaque_spans"], r["spans"]) for r in secret_owners.find_secrets(docs, F.col("o"), F.lit("r")).collect()}
+    n, m = len(KEY), len(long)
+    assert m > 128 and got[1] == (f"shared:2:{2 + n}", "") and got[2] == (f"shared:2:{2 + n},owned:{3 + n}:{3 + n + m}", f"opaque:{3 + n}:{3 + n + m}")
+    assert got[3] == (f"owned:2:{3 + n}", f"opaque:2:{3 + n}") and got[7] == ("", "")
+    assert all(got[i] == (f"example:0:{1 + n}", "") for i in (4, 5, 6))
+
+
 def test_ownership_counts(spark):
     rows = [("a", "o1", "r1"), ("a", "o1", "r1"), ("a", "o1", "r2"), ("a", "o2", "r1"), ("b", None, None), ("b", None, None)]
     got = {r["hash"]: (r["n_repositories"], r["n_owners"]) for r in secret_owners.ownership(spark.createDataFrame(rows, "hash string, owner string, repository string")).collect()}
