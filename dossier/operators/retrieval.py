@@ -29,9 +29,10 @@ L2_QUERY_TILE = 8
 
 
 def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """len(q) x len(x), rounded so that every engine ranks alike."""
+    """len(q) x len(x), rounded so that every engine ranks alike. A zero vector has cosine distance 1 to all."""
     if metric == "cosine":
-        d = 1.0 - (q @ x.T) / np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)))
+        size = np.outer(np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1)))
+        d = 1.0 - np.divide(q @ x.T, size, out=np.zeros_like(size), where=size != 0)
     else:
         d = ((q[:, None, :] - x[None, :, :]) ** 2).sum(2)
     return np.round(d, DECIMALS)
@@ -167,13 +168,21 @@ def bucketed_knn(bucketed: DataFrame, queries: DataFrame, k: int, bits: int, rad
     """Approximate top-k: only vectors whose code is within ``radius`` flips of the query's compete.
 
     The probed codes are pushed to the scan as a filter, so unprobed partitions are not read. Every
-    vector of a probed bucket is looked at whatever its size; nothing is capped.
+    vector of a probed bucket is looked at whatever its size; nothing is capped. Queries over the byte limit go in
+    slices by the hash of their id, one scan each.
     """
     coded = queries.withColumn("qcode", sign_code(F.col("embedding"), bits))
     size, dim = coded.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    if size * dim * 8 > QUERY_BYTES:
-        raise ValueError("query batch over the byte limit: split it, or use knn")
+    slices = max(1, -(-size * dim * 8 // QUERY_BYTES))
+    part = F.pmod(F.xxhash64("qid"), F.lit(slices))
+    found = [_bucketed_search(bucketed, coded.filter(part == i) if slices > 1 else coded, k, bits, radius, metric) for i in range(slices)]
+    return top_k(reduce(DataFrame.union, found), k)
+
+
+def _bucketed_search(bucketed: DataFrame, coded: DataFrame, k: int, bits: int, radius: int, metric: str) -> DataFrame:
     rows = coded.select("qid", "embedding", "qcode").toPandas()
+    if rows.empty:
+        return bucketed.sparkSession.createDataFrame([], "qid long, id long, distance double")
     wanted = sorted({p for c in rows["qcode"] for p in probes(int(c), bits, radius)})
     payload = bucketed.sparkSession.sparkContext.broadcast(
         (rows["qid"].to_numpy("int64"), np.stack(rows["embedding"]).astype("float64"), rows["qcode"].to_numpy("int64"))
@@ -187,7 +196,7 @@ def bucketed_knn(bucketed: DataFrame, queries: DataFrame, k: int, bits: int, rad
         yield _emit(qids, best)
 
     near = bucketed.filter(F.col("code").isin(wanted)).select("id", "embedding", "code")
-    return top_k(near.mapInPandas(scan, "qid long, id long, distance double"), k)
+    return near.mapInPandas(scan, "qid long, id long, distance double")
 
 
 def recall_against(approx: DataFrame, exact: DataFrame) -> DataFrame:

@@ -240,6 +240,23 @@ def test_knn_both_paths_match_brute_force(spark, metric, limit, monkeypatch):
     assert {(r.qid, r.id, r["rank"]) for r in got} == want
 
 
+def test_zero_vectors_are_ranked(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 0.0], 0), (3, [-1.0, 0.0], 0)], "id long, embedding array<double>, chapter int")
+    q = spark.createDataFrame([(1, [2.0, 0.0]), (2, [0.0, 0.0])], "qid long, embedding array<double>")
+    for limit in (1 << 30, 1):
+        got = sorted((r.qid, r["rank"], r.id, r.distance) for r in rt.knn(v, q, 3, query_bytes=limit).collect())
+        assert got == [(1, 1, 1, 0.0), (1, 2, 2, 1.0), (1, 3, 3, 2.0), (2, 1, 1, 1.0), (2, 2, 2, 1.0), (2, 3, 3, 1.0)]
+
+
+def test_bucketed_queries_over_the_limit(spark, monkeypatch):
+    _, v = _vectors(spark)
+    q = v.filter("id < 20").select(F.col("id").alias("qid"), "embedding")
+    b = rt.bucket_vectors(v, 4)
+    want = {tuple(r) for r in rt.bucketed_knn(b, q, 5, 4, radius=1).collect()}
+    monkeypatch.setattr(rt, "QUERY_BYTES", 500)
+    assert len(want) >= 20 and {tuple(r) for r in rt.bucketed_knn(b, q, 5, 4, radius=1).collect()} == want
+
+
 def test_bucketed_is_a_rechecked_subset(spark):
     _, v = _vectors(spark)
     q = v.filter("id < 20").select(F.col("id").alias("qid"), "embedding")
