@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import chunk_tokens, golomb_dedup, ordinal_quality, partenum, sampled_pieces, secret_owners, soft_mixing, tree_forest, url_rules, warc_derivatives
+from dossier.llm.boosted_pii import op11_boosted_pii
 from dossier.llm.common import table
+from dossier.llm.prefix_trie import SQL as OP12_SQL
+from dossier.llm.prefix_trie import op12_prefix_trie
+from dossier.llm.whitening import op13_whitening
 
 
 def tokenizer_file(name: str) -> str:
@@ -90,6 +94,6 @@ from documents window w as (partition by coalesce(text, ''))
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_soft_mixing, op2_url_rules, op3_partenum, op4_warc_derivatives, op5_ordinal_quality, op6_tree_forest, op7_secret_owners, op8_sampled_pieces, op9_chunk_tokens, op10_golomb_dedup)
+    for f in (op1_soft_mixing, op2_url_rules, op3_partenum, op4_warc_derivatives, op5_ordinal_quality, op6_tree_forest, op7_secret_owners, op8_sampled_pieces, op9_chunk_tokens, op10_golomb_dedup, op11_boosted_pii, op12_prefix_trie, op13_whitening)
 }
-LLM_SQL = {"op2_url_rules": url_rules.SQL, "op3_partenum": OP3_SQL, "op4_warc_derivatives": warc_derivatives.SQL, "op6_tree_forest": OP6_SQL, "op10_golomb_dedup": OP10_SQL}
+LLM_SQL = {"op2_url_rules": url_rules.SQL, "op3_partenum": OP3_SQL, "op4_warc_derivatives": warc_derivatives.SQL, "op6_tree_forest": OP6_SQL, "op10_golomb_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL}
