@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions.glyphs import PRIVATE_USE, code_of, private_chars
-from dossier.operators.scans import prefix_scan
+from dossier.operators.scans import range_scan
 from dossier.session import stage
 
 # Candidate replacements and the letter order that settles ties.
@@ -48,7 +48,7 @@ def font_profile(spans: DataFrame) -> DataFrame:
 def request_blocks(flagged: DataFrame, fonts: tuple[str, ...]) -> DataFrame:
     """Numbered request lines per font, one row per entry so a frequent font stays many rows."""
     picked = flagged.filter(F.col("font").isin(*fonts))
-    numbered = prefix_scan(picked, ["font"], "ord", {"entry": ("sum", F.lit(1))})
+    numbered = range_scan(picked, ["font"], ["ord"], {"entry": ("sum", F.lit(1))})
     line = F.concat(
         F.col("entry").cast("string"), F.lit('. "'), F.col("word"), F.lit('"  (page '), F.col("page").cast("string"),
         F.lit(", residual PUA chars: "), F.array_join("residual_chars", ", "), F.lit(', surrounding context: "'), F.col("context"), F.lit('")'),
@@ -177,15 +177,14 @@ def letter_scores(flagged: DataFrame, dictionary: DataFrame) -> DataFrame:
     of three letters or more; ties go to the more frequent letter. ``flagged``: font, word, residual_chars."""
     base = flagged.select("font", "word", F.explode("residual_chars").alias("code")).groupBy("font", "word", "code").agg(F.count("*").alias("n"))
     letters = F.array(*[F.lit(c) for c in LETTER_ORDER])
-    tries = base.withColumn("letter", F.explode(letters))
     hit = F.filter(private_chars(F.col("word")), lambda g: code_of(g) == F.col("code"))
-    fixed = F.replace("word", F.get(hit, F.lit(0)), F.col("letter"))
+    tries = base.withColumn("_glyph", F.get(hit, F.lit(0))).filter("_glyph is not null").withColumn("letter", F.explode(letters))
+    fixed = F.replace("word", F.col("_glyph"), F.col("letter"))
     edge = "^[\\p{Punct}]+|[\\p{Punct}]+$"
     tokens = F.transform(F.split(F.lower(fixed), "\\s+"), lambda t: F.regexp_replace(t, edge, ""))
     parts = F.flatten(F.transform(tokens, lambda t: F.filter(F.split(t, "[-/]"), lambda p: F.length(p) >= 3)))
     found = (
-        tries.filter(F.size(hit) > 0)
-        .select("font", "code", "letter", "n", F.explode(F.concat(tokens, parts)).alias("token"))
+        tries.select("font", "code", "letter", "n", F.explode(F.concat(tokens, parts)).alias("token"))
         .groupBy("font", "code", "letter", "token").agg(F.sum("n").alias("n"))
         .join(dictionary.select(F.col("word").alias("token")), "token", "left_semi")
         .groupBy("font", "code", "letter").agg(F.sum("n").alias("score"))

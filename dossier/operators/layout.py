@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.glyphs import repair, residual_codes
 from dossier.functions.text import bind, strip, word_count
-from dossier.operators.scans import fits_one_block, prefix_scan
+from dossier.operators.scans import AT, PART, range_sort, scan_ranges
 from dossier.session import stage
 
 # Font sets of the page design.
@@ -101,7 +101,7 @@ def clamp_ranges(ranges: DataFrame, lo: int, hi: int) -> DataFrame:
 def track_sections(elements: DataFrame) -> DataFrame:
     """Place every element in its section.
 
-    ``elements``: chapter, chapter_start, ord, page, role, size, text. Adds seg, section, subsection,
+    ``elements``: chapter, chapter_start, ord (anything that sorts), page, role, size, text. Adds seg, section, subsection,
     page_start as they stand after the element, ``*_before`` as they stood before it, and the count
     of body lines before it.
     """
@@ -112,14 +112,11 @@ def track_sections(elements: DataFrame) -> DataFrame:
     body = F.col("role").isin("body", "inline_label")
     flagged = elements.withColumn("top", top).withColumn("bound", is_heading | label).withColumn("label", label)
     flagged = flagged.withColumn("is_body", body)
-    seen = prefix_scan(
-        flagged, ["chapter"], "ord",
-        {"_content": ("max", F.when(content, F.col("ord"))), "_bound": ("max", F.when(F.col("bound"), F.col("ord")))},
-        exclusive=True,
-    )
+    places = {"_content": ("max", F.when(content, F.col("ord"))), "_bound": ("max", F.when(F.col("bound"), F.col("ord")))}
+    seen = scan_ranges(range_sort(flagged, ["chapter"], ["ord"]), ["chapter"], places, exclusive=True)
     # A minor heading right after another heading keeps the page on which the open section began.
     resets = F.col("top") | F.col("label") | (
-        F.col("bound") & (F.coalesce("_content", F.lit(-1)) > F.coalesce("_bound", F.lit(-1)))
+        F.col("bound") & F.col("_content").isNotNull() & F.coalesce(F.col("_content") > F.col("_bound"), F.lit(True))
     )
     own = {
         "seg": F.col("bound").cast("int"),
@@ -130,10 +127,7 @@ def track_sections(elements: DataFrame) -> DataFrame:
     }
     ops = {"seg": "sum", "section": "last", "subsection": "last", "page_start": "last", "bodies": "sum"}
     marked = stage(seen.withColumn("resets", resets).drop("_content", "_bound"))
-    tracked = prefix_scan(
-        marked, ["chapter"], "ord", {f"{k}_before": (op, own[k]) for k, op in ops.items()}, exclusive=True,
-        single_block=fits_one_block(marked, "ord"),
-    )
+    tracked = scan_ranges(marked, ["chapter"], {f"{k}_before": (op, own[k]) for k, op in ops.items()}, exclusive=True).drop(PART, AT)
     defaults = {"section": F.col("chapter"), "subsection": F.lit(""), "page_start": F.col("chapter_start")}
     for k, op in ops.items():
         if op == "last":

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.text import word_count
-from dossier.operators.scans import compose_order
 from dossier.sources.readers import read_table
 
 
@@ -42,7 +41,7 @@ def elements(spark: SparkSession, d: str) -> DataFrame:
         .select(
             F.col("lang").alias("chapter"),
             F.lit(0).cast("long").alias("chapter_start"),
-            compose_order(F.col("doc_id"), F.col("pos")).alias("ord"),
+            F.struct(F.col("doc_id").alias("page"), F.col("pos").alias("line")).alias("ord"),
             F.col("doc_id").alias("page"),
             size.alias("size"),
             F.when(n <= 6, "section_heading").otherwise("body").alias("role"),

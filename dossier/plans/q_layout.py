@@ -40,17 +40,21 @@ def glyph_frequency(spark, d):
 
 
 def _flagged_words(spark, d):
-    """Damaged first words of every line, per language."""
-    lines = adapters.damaged(spark, d).select("doc_id", "lang", F.posexplode(F.split("damaged", "\n")).alias("pos", "line"))
-    w = lines.select(
-        F.col("lang").alias("font"), F.get(F.split("line", " "), F.lit(0)).alias("word"), F.col("doc_id").alias("page"), F.col("line").alias("context"),
-        (F.shiftleft("doc_id", 20) + F.col("pos")).alias("ord"),
+    """Damaged words of every line, per language, each with the five words before and after it in its line."""
+    lines = adapters.damaged(spark, d).select("doc_id", "lang", F.posexplode(F.split("damaged", "\n")).alias("line", "text"))
+    near = lambda ws, i: F.array_join(F.slice(ws, F.greatest(i - 4, F.lit(1)), i + 6 - F.greatest(i - 5, F.lit(0))), " ")
+    words = F.transform(F.split("text", " "), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    held = lines.select("doc_id", "lang", "line", F.split("text", " ").alias("ws"), F.filter(words, lambda x: F.size(gl.residual_codes(x["word"])) > 0).alias("hit"))
+    w = held.select("doc_id", "lang", "line", F.explode(F.transform("hit", lambda h: F.struct(h["word"].alias("word"), h["at"].alias("at"), near(F.col("ws"), h["at"]).alias("context")))).alias("h"))
+    w = w.select(
+        F.col("lang").alias("font"), "h.word", F.col("doc_id").alias("page"), "h.context", F.struct("doc_id", "line", "h.at").alias("ord"),
     )
     return w.withColumn("residual_chars", F.array_sort(F.array_distinct(gl.residual_codes(F.col("word"))))).filter(F.size("residual_chars") > 0)
 
 
 _FLAGGED = f"""fl0 as (select doc_id, lang as font, unnest(string_split({_DAMAGE}, chr(10))) as context, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
-fl as (select *, string_split(context, ' ')[1] as word from fl0),
+fl1 as (select doc_id, font, pos, string_split(context, ' ') as ws, unnest(range(len(string_split(context, ' ')))) as wp from fl0),
+fl as (select doc_id, font, pos, wp, ws[wp + 1] as word, list_aggregate(ws[greatest(wp - 4, 1):wp + 6], 'string_agg', ' ') as context from fl1),
 flagged as (select *, list_sort(list_distinct(list_transform(regexp_extract_all(word, '{_PUA}'), lambda c: printf('U+%04X', unicode(c))))) as codes from fl
   where regexp_matches(word, '{_PUA}'))"""
 
@@ -82,7 +86,7 @@ def font_samples(spark, d):
 
 @query(
     "A32",
-    f"""with {_FLAGGED}, x as (select *, row_number() over (partition by font order by doc_id, pos) as entry from flagged where font in ('de', 'fr'))
+    f"""with {_FLAGGED}, x as (select *, row_number() over (partition by font order by doc_id, pos, wp) as entry from flagged where font in ('de', 'fr'))
     select font, entry, md5(entry || '. "' || word || '"  (page ' || doc_id || ', residual PUA chars: ' || list_aggregate(codes, 'string_agg', ', ') || ', surrounding context: "' || context || '")') as digest from x""",
 )
 def request_blocks(spark, d):
@@ -277,7 +281,7 @@ def keyword_hits_per_page(spark, d):
 
 
 _TRACK = f"""el0 as (select lang as chapter, doc_id as page, unnest(string_split(text, chr(10))) as raw, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
-el1 as (select chapter, page, pos, page * 1048576 + pos as ord, trim(raw, ' ') as text, {wc('raw')} as n from el0),
+el1 as (select chapter, page, pos, page::hugeint * 4294967296 + pos as ord, trim(raw, ' ') as text, {wc('raw')} as n from el0),
 el as (select *, n <= 3 as top, n <= 6 as bound, n > 6 as body from el1 where text <> ''),
 e2 as (select *, max(case when body then ord end) over w as lc, max(case when bound then ord end) over w as lb from el
   window w as (partition by chapter order by ord rows between unbounded preceding and 1 preceding)),
@@ -289,7 +293,7 @@ tr as (select *, sum(bound::int) over w as seg,
   from e3 window w as (partition by chapter order by ord rows between unbounded preceding and current row)),
 ends as (select chapter, max(page) as last_page from el group by chapter),
 heads as (select chapter, seg - 1 as seg, page as next_page from tr where bound),
-secs as (select tr.chapter, tr.seg, min(ord) as seq, any_value(section) as section, any_value(subsection) as subsection, any_value(page_start) as lo,
+secs as (select tr.chapter, tr.seg, arg_min(page, ord) as first_page, arg_min(pos, ord) as first_line, any_value(section) as section, any_value(subsection) as subsection, any_value(page_start) as lo,
   coalesce(any_value(h.next_page), any_value(e.last_page)) as hi, {strip("string_agg(text, ' ' order by ord)")} as text
   from tr left join heads h on h.chapter = tr.chapter and h.seg = tr.seg join ends e on e.chapter = tr.chapter where body group by tr.chapter, tr.seg)"""
 
@@ -299,11 +303,11 @@ def _tracked(spark, d):
     return ly.track_sections(e), e.groupBy("chapter").agg(F.max("page").alias("last_page"))
 
 
-@query("W8", f"with {_TRACK} select chapter, seq, section, subsection, lo, hi, {wc('text')} as words, md5(text) as digest from secs")
+@query("W8", f"with {_TRACK} select chapter, first_page, first_line, section, subsection, lo, hi, {wc('text')} as words, md5(text) as digest from secs")
 def sectionise_lines(spark, d):
     t, ends = _tracked(spark, d)
     s = ly.build_sections(t, ends)
-    return s.select("chapter", "seq", "section", "subsection", "page_range.lo", "page_range.hi", F.col("word_count").alias("words"), F.md5("text").alias("digest"))
+    return s.select("chapter", F.col("seq.page").alias("first_page"), F.col("seq.line").alias("first_line"), "section", "subsection", "page_range.lo", "page_range.hi", F.col("word_count").alias("words"), F.md5("text").alias("digest"))
 
 
 _CTX = f"""{_TRACK},
@@ -315,10 +319,10 @@ ctx as (select h.chapter, h.ord, string_agg(b.text, ' ' order by b.bi) as before
 
 @query(
     "W13 P21",
-    f"""with {_CTX} select h.chapter, h.ord, left({strip("coalesce(c.before, '') || ' [HERE] ' || h.text")}, 300) as context
+    f"""with {_CTX} select h.chapter, h.page, h.pos as line, left({strip("coalesce(c.before, '') || ' [HERE] ' || h.text")}, 300) as context
       from hits h left join ctx c on c.chapter = h.chapter and c.ord = h.ord""",
 )
 def context_snippet(spark, d):
     marks = F.array_distinct(F.regexp_extract_all("text", F.lit("([éü])"), F.lit(1)))
     e = adapters.elements(spark, d).withColumn("residual", marks)
-    return ly.flag_unknown_glyphs(ly.track_sections(e)).select("chapter", "ord", "context")
+    return ly.flag_unknown_glyphs(ly.track_sections(e)).select("chapter", "ord.page", "ord.line", "context")

@@ -299,9 +299,9 @@ def chunk_late_merge(spark, d):
     return c.select("chunk_id", "chapter", "page_range.lo", "page_range.hi", F.col("word_count").alias("words"), F.md5("text").alias("digest"))
 
 
-@query("A2", f"with {SECTIONS} {_hist('sections', ch.CHUNK_BUCKETS)}")
+@query("A2", f"with recursive {_LATE} {_hist('chunks', ch.CHUNK_BUCKETS)}")
 def wc_hist_chunks(spark, d):
-    return ch.word_count_histogram(adapters.sections(spark, d))
+    return ch.word_count_histogram(ch.structured_chunks(adapters.sections(spark, d)))
 
 
 @query("A3", f"with {SECTIONS} {_hist('sections', ch.SECTION_BUCKETS)}")
@@ -334,12 +334,12 @@ def section_blocks(spark, d):
        row_number() over (partition by event_type order by case when user_id % 7 = 0 then 0 else user_id end, event_id) as pos from events""",
 )
 def natural_id_order(spark, d):
-    from dossier.operators.scans import prefix_scan
+    from dossier.operators.scans import range_scan
 
     tail = F.when(F.col("user_id") % 7 == 0, "x").otherwise(F.col("user_id").cast("string"))
     e = read_table(spark, d, "events").select("event_id", tx.natural_id_key(F.concat_ws("::", F.lit("a"), "event_type", tail)).alias("k"))
-    keyed = e.select("event_id", "k.prefix", F.col("k.n").alias("number"), (F.shiftleft("k.n", 40) + F.col("event_id")).alias("ord"))
-    return prefix_scan(keyed, ["prefix"], "ord", {"pos": ("sum", F.lit(1))}, block_bits=44).drop("ord")
+    keyed = e.select("event_id", "k.prefix", F.col("k.n").alias("number"))
+    return range_scan(keyed, ["prefix"], ["number", "event_id"], {"pos": ("sum", F.lit(1))})
 
 
 @query(

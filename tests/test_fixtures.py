@@ -564,3 +564,57 @@ def test_claims_of_sources_without_text(spark):
     rows = [(1, 1, "u", 1, None, said), (2, 1, "u", 1, "", said), (3, 1, "u", 1, said, "Other."), (4, 1, "u", 1, None, None)]
     sources = spark.createDataFrame(rows, "request_id long, source_rank int, url string, source_tier int, text string, snippet string")
     assert sorted(r["request_id"] for r in extract_claims(sources).collect()) == [1, 2, 3]
+
+
+# ---- scans over range partitions ----
+
+
+def test_range_scan_against_plain_windows(spark):
+    import random
+
+    from dossier.operators.scans import range_scan
+
+    rng = random.Random(3)
+    rows = [(None if k == 3 else f"k{k}", f"{rng.getrandbits(60):015x}", rng.choice([None, -2, 0, 1, 5])) for k in (0, 1, 1, 1, 1, 1, 2, 3) for _ in range(90)]
+    df = spark.createDataFrame(rows, "k string, id string, v long").repartition(5)
+    specs = {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "lo": ("min", F.col("v")), "last": ("last", F.col("v"))}
+    for exclusive in (False, True):
+        state, want = {}, {}
+        for k, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+            seen = state.setdefault(k, [])
+            upto = [x for x in (seen if exclusive else [*seen, v]) if x is not None]
+            want[i] = (sum(upto), max(upto, default=None), min(upto, default=None), upto[-1] if upto else None)
+            seen.append(v)
+        got = range_scan(df, ["k"], ["id"], specs, exclusive)
+        assert got.columns == ["k", "id", "v", "s", "m", "lo", "last"]
+        assert {r.id: (r.s, r.m, r.lo, r["last"]) for r in got.collect()} == want
+    whole = range_scan(df, [], ["id"], {"n": ("sum", F.lit(1))}).collect()
+    assert [r.n for r in sorted(whole, key=lambda r: r.id)] == list(range(1, len(rows) + 1))
+    assert range_scan(df.filter("v > 9"), ["k"], ["id"], specs).count() == 0
+
+
+def test_positions_past_twenty_bits_and_large_numbers(spark):
+    from dossier.operators.scans import range_scan
+
+    df = spark.range(1 << 21).select(F.lit("a").alias("k"), F.struct(F.lit(1).alias("doc"), (F.col("id") * 4097).alias("pos")).alias("ord"), (F.lit(1 << 61) - F.col("id")).alias("number"))
+    out = range_scan(df, ["k"], ["ord"], {"n": ("sum", F.lit(1))})
+    assert out.filter(F.col("n") != F.col("ord.pos") / 4097 + 1).isEmpty()
+    back = range_scan(df, ["k"], ["number"], {"n": ("sum", F.lit(1))})
+    assert back.filter(F.col("n") + F.col("ord.pos") / 4097 != 1 << 21).isEmpty()
+
+
+def test_the_carry_has_one_row_per_partition(spark):
+    from dossier.operators import scans
+
+    ranged = scans.range_sort(spark.range(4000).select((F.col("id") % 900).alias("k"), "id").repartition(6), ["k"], ["id"])
+    parts = ranged.select("_part").distinct().count()
+    text = scans.scan_ranges(ranged, ["k"], {"n": ("sum", F.lit(1))})._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(_part" in text and "Exchange hashpartitioning(k#" not in text
+    assert ranged.groupBy("_part").agg(F.max_by("k", "_at")).count() == parts <= 900
+
+
+def test_every_damaged_word_counts(spark):
+    from dossier.plans import q_layout
+
+    words = q_layout._flagged_words(spark, "/root/testdata/sf0.001").select("page", "word", "ord").collect()
+    assert len({tuple(w.ord) for w in words}) == len(words) and max(w.ord.at for w in words) > 5
