@@ -74,6 +74,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batch, "text"):
             offsets, index, values, _ = features(piece.column("text").to_pylist(), cache)
             yield pa.record_batch({"target": piece.column("target"), "index": ragged(offsets, index, pa.int32()), "value": ragged(offsets, values, pa.float32())})
+    del cache
+    give_back()
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: Column, rows: int = SAMPLE_ROWS, seed: int = 1, fold: int | None = None) -> DataFrame:

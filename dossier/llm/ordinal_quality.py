@@ -117,6 +117,8 @@ def score(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEEP_TAIL) ->
                 tails = send.value.tails(piece.column("text").to_pylist(), cache)
                 out = {"doc_id": piece.column("doc_id"), "grade": tails.sum(1)} | {f"p_above_{j}": tails[:, j] for j in range(m)}
                 yield pa.record_batch(out | {"kept": tails[:, -1] >= keep_tail})
+        del cache
+        give_back()
 
     schema = "doc_id long, grade double, " + ", ".join(f"p_above_{j} double" for j in range(m)) + ", kept boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -131,5 +133,7 @@ def keep_good(docs: DataFrame, model: OrdinalModel, keep_tail: float = KEEP_TAIL
         for batch in batches:
             for piece in text_slices(batch, "text"):
                 yield piece.filter(pa.array(send.value.tails(piece.column("text").to_pylist(), cache)[:, -1] >= keep_tail))
+        del cache
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -100,6 +100,8 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
                 counts, p = send.value.posteriors(piece.column("text").to_pylist(), cache)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32()), pa.array(p.ravel()))
                 yield pa.record_batch({"doc_id": piece.column("doc_id"), "th": piece.column("th"), "n_tokens": counts, "p": flat})
+        del cache
+        give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, th long, n_tokens long, p array<double>")

@@ -178,14 +178,18 @@ def letter_scores(flagged: DataFrame, dictionary: DataFrame) -> DataFrame:
     base = flagged.select("font", "word", F.explode("residual_chars").alias("code")).groupBy("font", "word", "code").agg(F.count("*").alias("n"))
     letters = F.array(*[F.lit(c) for c in LETTER_ORDER])
     hit = F.filter(private_chars(F.col("word")), lambda g: code_of(g) == F.col("code"))
-    tries = base.withColumn("_glyph", F.get(hit, F.lit(0))).filter("_glyph is not null").withColumn("letter", F.explode(letters))
-    fixed = F.replace("word", F.col("_glyph"), F.col("letter"))
     edge = "^[\\p{Punct}]+|[\\p{Punct}]+$"
-    tokens = F.transform(F.split(F.lower(fixed), "\\s+"), lambda t: F.regexp_replace(t, edge, ""))
+    tokens = F.transform(F.split(F.lower("word"), "\\s+"), lambda t: F.regexp_replace(t, edge, ""))
     parts = F.flatten(F.transform(tokens, lambda t: F.filter(F.split(t, "[-/]"), lambda p: F.length(p) >= 3)))
+    # A token that keeps another damaged glyph is in no dictionary: only the others are tried with every letter.
+    open_tokens = (
+        base.select("font", "code", "n", F.get(hit, F.lit(0)).alias("glyph"), F.explode(F.concat(tokens, parts)).alias("token"))
+        .filter(F.col("glyph").isNotNull() & (F.size(F.array_remove(private_chars(F.col("token")), F.col("glyph"))) == 0))
+        .groupBy("font", "code", "glyph", "token").agg(F.sum("n").alias("n"))
+    )
     found = (
-        tries.select("font", "code", "letter", "n", F.explode(F.concat(tokens, parts)).alias("token"))
-        .groupBy("font", "code", "letter", "token").agg(F.sum("n").alias("n"))
+        open_tokens.select("font", "code", F.explode(letters).alias("letter"), "glyph", "token", "n")
+        .select("font", "code", "letter", F.replace("token", F.col("glyph"), F.col("letter")).alias("token"), "n")
         .join(dictionary.select(F.col("word").alias("token")), "token", "left_semi")
         .groupBy("font", "code", "letter").agg(F.sum("n").alias("score"))
     )
