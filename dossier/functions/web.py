@@ -189,20 +189,32 @@ def page_title(html: Column) -> Column:
     return strip(unescape(F.regexp_extract(html, "(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>", 1)))
 
 
+def tag_attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a start tag, quoted or bare; empty without one."""
+    pattern = f"(?is)[\\s\"']{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))"
+    return F.concat(*[F.regexp_extract(tag, pattern, g) for g in (1, 2, 3)])
+
+
 def page_date(html: Column) -> Column:
-    """First dated meta name in priority order, else the <time> element, first ten characters."""
-    options = []
-    for name in DATE_NAMES:
-        quoted = name.replace(".", "\\.")
-        for attr in ("property", "name"):
-            for pattern in (
-                f"(?is)<meta\\s[^>]*{attr}=[\"']{quoted}[\"'][^>]*content=[\"']([^\"']+)[\"']",
-                f"(?is)<meta\\s[^>]*content=[\"']([^\"']+)[\"'][^>]*{attr}=[\"']{quoted}[\"']",
-            ):
-                options.append(F.nullif(F.regexp_extract(html, pattern, 1), F.lit("")))
-    options.append(F.nullif(F.regexp_extract(html, "(?is)<time\\s[^>]*datetime=[\"']([^\"']+)[\"']", 1), F.lit("")))
-    options.append(F.nullif(strip(F.regexp_extract(html, "(?is)<time(?:\\s[^>]*)?>(.*?)</time\\s*>", 1)), F.lit("")))
-    return F.when(F.lower(html).rlike("<meta|<time"), F.substring(F.coalesce(*options), 1, 10))
+    """The content of the first dated meta tag in the order of DATE_NAMES, else the first <time> element; ten characters.
+
+    The tags are cut out of the page once. For each name the first tag with that ``property`` counts, else the first with that
+    ``name``; one without content leaves the turn to the next name. Tags in comments do not count. Null without a date.
+    """
+    bare = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    tags = F.regexp_extract_all(bare, F.lit("(?is)<meta\\s[^>]*>"), F.lit(0))
+    parsed = F.transform(tags, lambda t: F.struct(*[unescape(tag_attribute(t, a)).alias(a) for a in ("property", "name", "content")]))
+
+    def chosen(metas: Column) -> Column:
+        def tag(name: str) -> Column:
+            return F.coalesce(F.get(F.filter(metas, lambda m: m["property"] == name), F.lit(0)), F.get(F.filter(metas, lambda m: m["name"] == name), F.lit(0)))
+
+        return F.coalesce(*[F.nullif(tag(name)["content"], F.lit("")) for name in DATE_NAMES])
+
+    time = "(?is)<time(\\s[^>]*)?>(.*?)(?:</time\\s*>|$)"
+    inner = strip(F.regexp_replace(F.regexp_extract(bare, time, 2), "(?s)\\s*<[^>]*>\\s*", " "))
+    timed = F.coalesce(F.nullif(tag_attribute(F.regexp_extract(bare, time, 1), "datetime"), F.lit("")), F.nullif(unescape(inner), F.lit("")))
+    return F.when(F.lower(html).rlike("<meta|<time"), F.substring(F.coalesce(bind(parsed, chosen), timed), 1, 10))
 
 
 class _Blocks(HTMLParser):

@@ -208,9 +208,40 @@ def page_text_nested(spark, d):
     return p.select("page_id", F.substring("t", 1, web.PAGE_CHARS).alias("text"), F.substring("t", 1, web.SNIPPET_CHARS).alias("snippet"))
 
 
-@query("H42 H44", f"select page_id, {_title_sql('html')} as title, null::varchar as published from pages where not regexp_matches(lower(html), '<meta[^>]*(date|modified|published)|<time')")
+# The pages carry no dates: every way to write one is put into their heads, by page_id.
+_DATED = (
+    "",
+    '<meta name="date" content="2021-03-04T05:06">',
+    '<meta name="last-modified" content="2015-01-02"><meta property="article:published_time" content="2020-10-11T00:00:00Z">',
+    '<time datetime="2019-12-31T10:00">last year</time>',
+    "<META content='2018-07-08' name='dc.date'>",
+    "<time><b>May 2013</b>, 5th</time>",
+    '<!-- <meta name="date" content="1999-01-01"> --><meta name=dc.date.issued content="2012-02-03">',
+    '<meta property="date" content=""><meta name="date" content="2001-01-01"><meta name="dc.date" content="2002-02-02">',
+)
+
+
+def _attribute_sql(tag: str, name: str) -> str:
+    pattern = f"""(?is)[\\s"'']{name}\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s>"'']+))"""
+    return " || ".join(f"regexp_extract({tag}, '{pattern}', {g})" for g in (1, 2, 3))
+
+
+def _date_sql() -> str:
+    heads = " ".join(f"when {i} then '{h.replace(chr(39), chr(39) * 2)}'" for i, h in enumerate(_DATED))
+    first = lambda field, name: f"list_filter(metas, lambda m: m.{field} = '{name}')"
+    choice = ", ".join(f"nullif(case when len({first('p', n)}) > 0 then {first('p', n)}[1].c when len({first('n', n)}) > 0 then {first('n', n)}[1].c end, '')" for n in web.DATE_NAMES)
+    time = "(?is)<time(\\s[^>]*)?>(.*?)(?:</time\\s*>|$)"
+    return f"""dated as (select page_id, html, regexp_replace(replace(html, '<head>', '<head>' || case page_id % {len(_DATED)} {heads} end), '(?s)<!--.*?-->', '', 'g') as bare from pages),
+    tagged as (select page_id, html, bare, list_transform(regexp_extract_all(bare, '(?is)<meta\\s[^>]*>'), lambda t: {{'p': {_attribute_sql('t', 'property')}, 'n': {_attribute_sql('t', 'name')}, 'c': {_attribute_sql('t', 'content')}}}) as metas,
+      regexp_extract(bare, '{time}', 1) as time_tag, {o_strip(f"regexp_replace(regexp_extract(bare, '{time}', 2), '{WS}*<[^>]*>{WS}*', ' ', 'g')")} as time_text from dated),
+    chosen as (select page_id, html, left(coalesce({choice}, nullif({_attribute_sql('time_tag', 'datetime')}, ''), nullif(time_text, '')), 10) as published from tagged)"""
+
+
+@query("H42 H44", f"with {_date_sql()} select page_id, {_title_sql('html')} as title, published from chosen")
 def page_title_date(spark, d):
-    p = read_table(spark, d, "pages").filter(~F.lower("html").rlike("<meta[^>]*(date|modified|published)|<time"))
+    heads = F.array(*[F.lit(h) for h in _DATED])
+    head = F.concat(F.lit("<head>"), F.get(heads, (F.col("page_id") % len(_DATED)).cast("int")))
+    p = read_table(spark, d, "pages").select("page_id", F.replace("html", F.lit("<head>"), head).alias("html"))
     return p.select("page_id", web.page_title(F.col("html")).alias("title"), web.page_date(F.col("html")).alias("published"))
 
 
