@@ -6,12 +6,15 @@ collected, so the per-request arrays stay small whatever the size of a request.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import web
 from dossier.functions.privacy import is_unsafe
 from dossier.functions.text import EMPTY_TEXTS, WS, contains_any, sentences, strip
+from dossier.session import stage
 
 # Words that mark a sentence as a claim.
 CLAIM_KEYWORDS = (
@@ -245,6 +248,64 @@ def review_requests(
     return r.withColumn("final_decision", decided).drop("draft")
 
 
+MAX_LIMITATIONS = 3
+
+
+@dataclass(frozen=True)
+class EvidenceFlow:
+    """What a two-stage run leaves: the ranked sources, every limitation as a row, the claims, and one reviewed row per request."""
+
+    sources: DataFrame
+    limitations: DataFrame
+    claims: DataFrame
+    reviewed: DataFrame
+
+
+def evidence_flow(
+    requests: DataFrame,
+    results: DataFrame,
+    fetched: DataFrame,
+    current_year: int,
+    tier: Column | None = None,
+    keywords: tuple[str, ...] = CLAIM_KEYWORDS,
+    max_sources: int = MAX_SOURCES,
+) -> EvidenceFlow:
+    """Search results to reviewed evidence in two stages.
+
+    The results are ranked as found; the first 2n of those whose url is among the 2n best are fetched. A fetched page replaces title,
+    text, snippet and date; where the fetch failed or is missing, the search result stands in with its snippet as text. The outcome is
+    ranked again and cut to n. Errors of the search, in result order, then those of the fetches become the request's limitations.
+
+    ``requests``: request_id, question, deidentified. ``results``: request_id, seq, url, domain, title, snippet, date, query, error.
+    ``fetched``: request_id, url, title, text, snippet, date, error; of several rows for a url the least counts. A blank domain is taken from the
+    url, others are lower-cased. Results without a url only give their errors. Requests without results are reviewed as having none.
+    Limitations stay rows; a request carries the first MAX_LIMITATIONS, as many as its summary names.
+    """
+    domain = F.coalesce(F.nullif(F.regexp_replace(F.lower(strip(F.col("domain"))), "^www\\.", ""), F.lit("")), web.host(F.col("url")))
+    found = results.withColumn("domain", domain)
+    picked = candidates(found, score_sources(found, current_year, tier=tier), max_sources)
+    in_order = Window.partitionBy("request_id").orderBy("seq")
+    picked = picked.withColumn("_n", F.row_number().over(in_order)).filter(F.col("_n") <= 2 * max_sources).drop("_n")
+    page = F.struct("title", "text", "snippet", "date", "error")
+    pages = fetched.join(picked.select("request_id", "url").distinct(), ["request_id", "url"], "left_semi").groupBy("request_id", "url").agg(F.min(page).alias("page"))
+    read = F.col("page").isNotNull() & (F.coalesce("page.error", F.lit("")) == "")
+    new = lambda c, old: F.when(read, F.col(f"page.{c}")).otherwise(F.col(old)).alias(c)
+    merged = stage(
+        picked.join(pages, ["request_id", "url"], "left").select(
+            "request_id", "seq", "url", "domain", "query", new("title", "title"), new("text", "snippet"), new("snippet", "snippet"), new("date", "date"),
+            F.nullif(F.col("page.error"), F.lit("")).alias("error"),
+        )
+    )
+    top = stage(top_sources(score_sources(merged.drop("error"), current_year, tier=tier), max_sources))
+    said = lambda df, step: df.filter(F.coalesce("error", F.lit("")) != "").select("request_id", F.lit(step).alias("step"), "seq", "error")
+    limits = said(results, 1).unionByName(said(merged, 2))
+    first = limits.withColumn("_n", F.row_number().over(Window.partitionBy("request_id").orderBy("step", "seq", "error"))).filter(F.col("_n") <= MAX_LIMITATIONS)
+    short = first.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "error"))), lambda x: x["error"]).alias("limitations"))
+    asked = requests.join(short, "request_id", "left").withColumn("limitations", F.coalesce("limitations", F.expr(EMPTY_TEXTS)))
+    claims = stage(extract_claims(top, keywords))
+    return EvidenceFlow(top, limits, claims, review_requests(asked, top, claims, current_year))
+
+
 def rank_catalogue(requests: DataFrame, entries: DataFrame, n: int) -> DataFrame:
     """Catalogue entries per request by the number of query words their text contains, ties in catalogue order.
 

@@ -381,6 +381,72 @@ def council_decision(spark, d):
     )
 
 
+def _scored_sql(source: str, out: str) -> str:
+    """CTEs that rate a table (request_id, seq, url, host, title, snippet, text, date) and rank the rows with a url."""
+    return f"""{out}0 as (select *, try_cast(nullif(regexp_extract(coalesce(date, ''), '\\b(20[0-9]{{2}}|19[0-9]{{2}})\\b', 1), '') as int) as year, {_TIER} as tier,
+   contains(host, 'blog') or contains(host, 'forum') or contains(host, 'substack') or contains(host, 'medium.com') as rejected,
+   lower(concat_ws(' ', title, snippet, host)) as hay, lower(concat_ws(' ', title, snippet)) as ts,
+   list_distinct(['latest','recommendations','that','the','ation'] || list_filter([request_id], lambda t: length(t) > 2)) as terms from {source}),
+{out}1 as (select *, case
+   {chr(10).join(f"when {' or '.join(f'contains(hay, {chr(39)}{k}{chr(39)})' for k in ks)} then '{n}'" for n, ks in web.TYPE_KEYWORDS.items())}
+   when tier = 1 then 'government' else 'unknown' end as kind,
+   len(list_filter(terms, lambda t: contains(ts, t)))::double / len(terms) * 0.12::double as rel from {out}0),
+{out}2 as (select *, round(greatest(0.0::double, least(1.0::double, case when rejected then 0.0::double else
+   (case tier when 1 then 0.95::double when 2 then 0.82::double when 3 then 0.65::double else 0.35::double end)
+   + (case kind when 'guideline' then 0.08::double when 'government' then 0.06::double else 0.0::double end)
+   + (case when year is null then -0.04::double when {YEAR} - year <= 5 then 0.05::double when {YEAR} - year >= 10 then -0.12::double else 0.0::double end)
+   + rel end)), 3) as score from {out}1),
+{out} as (select *, row_number() over (partition by request_id order by score desc, seq) as source_rank from {out}2 where url <> '')"""
+
+
+_FLOW = f"""raw as (select page_id as seq, regexp_extract(url, '://[^/]*/([a-z]+)/', 1) as request_id, url, {_HOST} as host, {_title_sql('html')} as title,
+     {_page_text_sql('html', web.TEXT_TAGS)} as body from pages),
+found as (select request_id, seq, url, host, title, left(body, 160) as snippet, left(body, 160) as text, null::varchar as date, body,
+     case when seq % 31 = 0 then 'search_error: ' || seq end as error from raw),
+{_scored_sql('found', 'sought')},
+picked as (select * from (select *, row_number() over (partition by request_id order by seq) as n from found
+     where (request_id, url) in (select (request_id, url) from sought where source_rank <= 10)) where n <= 10),
+read as (select request_id, seq, url, host, title, seq % 7 <> 0 as there, seq % 5 = 0 as failed, snippet as old, body from picked),
+merged as (select request_id, seq, url, host, title, case when there and not failed then body else old end as text,
+     case when there and not failed then left(body, 500) else old end as snippet,
+     case when there and not failed then case seq % 4 when 1 then '2024-03-01' when 2 then 'Updated May 2013' when 3 then '2018' end end as date,
+     case when there and failed then 'fetch_error: ' || seq end as error from read),
+{_scored_sql('merged', 'ranked')},
+limits as (select request_id, error, row_number() over (partition by request_id order by step, seq, error) as n
+     from (select request_id, 1 as step, seq, error from found where error is not null union all select request_id, 2, seq, error from merged where error is not null)),
+said as (select request_id, count(*) as n_limits, string_agg(error, '; ' order by n) filter (where n <= 3) as limitations from limits group by request_id)
+{_REVIEWS[len(_RESULTS):]}"""
+
+
+@query(
+    "P19 J21 A27 H46 H51 H52 T4",
+    f"""with {_FLOW}, seqs as (select request_id, string_agg(seq::varchar, ',' order by source_rank) as sources from ranked where source_rank <= 5 group by request_id)
+    select f.request_id, sources, n_sources, coalesce(n_limits, 0) as n_limitations, coalesce(limitations, '') as limitations, source_decision, recency_decision, safety_decision, final_decision,
+      md5(case when limitations is null then summary else replace(summary, ' Key reviewed sources: ', ' Limitations: ' || limitations || '. Key reviewed sources: ') end) as digest
+    from fin f join seqs using (request_id) left join said using (request_id)""",
+)
+def evidence_flow(spark, d):
+    """Search results with short snippets; most pages can be read, every fifth fails, every seventh was never fetched."""
+    p = _results(spark, d).withColumn("body", F.col("text"))
+    seq = F.col("seq")
+    lead = F.substring("body", 1, 160)
+    results = p.select(
+        "request_id", "seq", "url", F.when(seq % 3 == 0, "").when(seq % 3 == 1, F.upper("domain")).otherwise(F.col("domain")).alias("domain"), "title",
+        lead.alias("snippet"), F.lit(None).cast("string").alias("date"), "query", F.when(seq % 31 == 0, F.concat(F.lit("search_error: "), seq.cast("string"))).alias("error"),
+    )
+    fetched = p.filter(seq % 7 != 0).select(
+        "request_id", "url", "title", F.col("body").alias("text"), "snippet", "date", F.when(seq % 5 == 0, F.concat(F.lit("fetch_error: "), seq.cast("string"))).alias("error")
+    )
+    reqs = _requests(spark, d).select("request_id", _question(F.col("request_id")).alias("question"), F.lit(True).alias("deidentified"))
+    flow = evidence.evidence_flow(reqs, results, fetched, YEAR, web.source_tier(F.col("domain"), TIERS), CLAIM_WORDS)
+    count = flow.limitations.groupBy("request_id").agg(F.count("*").alias("n_limitations"))
+    kept = flow.sources.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_rank", "seq"))), lambda s: s["seq"].cast("string")).alias("sources"))
+    return flow.reviewed.join(kept, "request_id").join(count, "request_id", "left").select(
+        "request_id", F.array_join("sources", ",").alias("sources"), "n_sources", F.coalesce("n_limitations", F.lit(0).cast("long")).alias("n_limitations"),
+        F.array_join("limitations", "; ").alias("limitations"), "source_decision", "recency_decision", "safety_decision", "final_decision", F.md5("summary").alias("digest"),
+    )
+
+
 @query("H52", f"with {_REVIEWS} select request_id, summary from fin")
 def evidence_summary(spark, d):
     return _reviewed(spark, d).select("request_id", "summary")

@@ -618,3 +618,44 @@ def test_every_damaged_word_counts(spark):
 
     words = q_layout._flagged_words(spark, "/root/testdata/sf0.001").select("page", "word", "ord").collect()
     assert len({tuple(w.ord) for w in words}) == len(words) and max(w.ord.at for w in words) > 5
+
+
+def test_page_dates_by_tags(spark):
+    cases = [
+        ('<meta property="date" content=""><meta name="date" content="2001-01-01"><meta name="dc.date" content="2002-02-02">', "2002-02-02"),
+        ('<!-- <meta name="date" content="1999-01-01"> --><META NAME=last-modified CONTENT=2012-02-03>', "2012-02-03"),
+        ("<meta name='other' content='1'><time></time>", None), ("<time datetime=''> <b>May 2013</b>, 5th</time>", "May 2013 ,"), (None, None), ("", None),
+        ('<meta name="date" content="first"><meta name="date" content="second">', "first"),
+    ]
+    for html, want in cases:
+        assert one(spark, web.page_date(F.lit(html).cast("string"))) == want
+
+
+def test_evidence_flow_falls_back_and_ranks_twice(spark):
+    text = "The guideline says patients should get early treatment for this."
+    results = [
+        ("r", 1, "https://www.cdc.gov/a", "", "Guideline a", "snip a should be long enough to be a claim here", None, "early treatment", None),
+        ("r", 2, "https://x.org/b", "X.ORG", "B", "early treatment", None, "early treatment", "search_error: b"),
+        ("r", 3, "https://y.org/c", "y.org", "C", "c", None, "early treatment", None),
+        ("r", 4, "", "", "no url", "d", None, "early treatment", "search_error: d"),
+        ("q", 1, "", None, None, None, None, None, "search_error: all"),
+    ]
+    fetched = [
+        ("r", "https://www.cdc.gov/a", None, None, None, None, "fetch_error: a"),
+        ("r", "https://x.org/b", "B early treatment", text, "early", "2024-01-01", None), ("r", "https://x.org/b", "C later", text, "early", "2024-01-01", None),
+        ("r", "https://z.org/unasked", "Z", "z", "z", None, "fetch_error: z"),
+    ]
+    flow = ev.evidence_flow(
+        spark.createDataFrame([("r", "why?", True), ("q", "what?", True), ("none", "who?", True)], "request_id string, question string, deidentified boolean"),
+        spark.createDataFrame(results, "request_id string, seq long, url string, domain string, title string, snippet string, date string, query string, error string"),
+        spark.createDataFrame(fetched, "request_id string, url string, title string, text string, snippet string, date string, error string"),
+        2025,
+    )
+    top = {r.seq: r for r in flow.sources.collect()}
+    assert set(top) == {1, 2, 3} and top[1].domain == "cdc.gov" and top[2].domain == "x.org"
+    assert top[1].text.startswith("snip a") and top[2].text == text and top[2].title == "B early treatment" and top[3].text == "c"
+    assert top[1].source_rank == 1 and top[2].source_rank == 2
+    out = {r.request_id: r for r in flow.reviewed.collect()}
+    assert out["r"].limitations == ["search_error: b", "search_error: d", "fetch_error: a"] and " Limitations: search_error: b; " in out["r"].summary
+    assert out["q"].limitations == ["search_error: all"] and out["q"].final_decision == "reject" and out["none"].limitations == []
+    assert flow.limitations.count() == 4
