@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import partitions, probably_in
+from dossier.llm.common import give_back, partitions, probably_in
 from dossier.session import stage
 
 FLUSH_BITS = 20
@@ -78,7 +78,7 @@ def _send(owners: int):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            if count + batch.num_rows > 1 << FLUSH_BITS:
+            if count and count + batch.num_rows > 1 << FLUSH_BITS:
                 yield from flush((part << 20) + flushes, *held)
                 held, count, flushes = ([], [], []), 0, flushes + 1
             held[0].append(batch.column("doc_id"))
@@ -87,6 +87,8 @@ def _send(owners: int):
             count += batch.num_rows
         if count:
             yield from flush((part << 20) + flushes, *held)
+        del held
+        give_back()
 
     return run
 

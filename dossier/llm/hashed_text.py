@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import ragged, text_slices
+from dossier.llm.common import give_back, ragged, text_slices
 
 DIM_BITS = 16
 DIM = 1 << DIM_BITS

@@ -168,6 +168,7 @@ def _may_link(percent: int):
             ka, kb = batch.column("ka").to_pylist(), batch.column("kb").to_pylist()
             keep = np.fromiter((sketch_distance(x, y) <= m for x, y, m in zip(ka, kb, most, strict=True)), bool, batch.num_rows)
             yield pa.record_batch({"a": batch.column("a").filter(pa.array(keep)), "b": batch.column("b").filter(pa.array(keep))})
+        give_back()
 
     return run
 
@@ -238,6 +239,7 @@ def _apart(percent: int, forest: bool):
                 yield pa.record_batch({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
                 found_a, found_b = [], []
         yield pa.record_batch({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
+        give_back()
 
     return run
 
@@ -362,6 +364,8 @@ def _sets(width: int):
                 found = [shingle_set(t, width, cache) for t in piece.column("text").to_pylist()]
                 ids = np.array([set_id(f) for f in found], np.uint64).view(np.int64)
                 yield pa.record_batch({"set_id": pa.array(ids), "features": pa.array([f.tobytes() for f in found], pa.binary())})
+        del cache
+        give_back()
 
     return run
 
