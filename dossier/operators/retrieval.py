@@ -1,8 +1,8 @@
 """Nearest-neighbour search, result ranks, vector store maintenance.
 
-Search never pairs rows in a join. The query side is counted first: below a byte limit it travels to
-the tasks as one matrix and every task multiplies its Arrow batches with it, keeping k rows per query;
-above the limit both sides are cut into equal hash blocks and each block pair is one bounded task.
+Search never pairs rows in a join and copies no row of either side. The queries are written once and cut into slices of bounded
+bytes; a slice travels to the tasks as one matrix, every task multiplies its Arrow batches with it and keeps k rows per query. More
+queries mean more slices, one narrow scan each, never a larger slice: the driver holds one slice at a time.
 """
 
 from __future__ import annotations
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from dossier.functions.vectors import sign_code
 from dossier.operators.scans import prefix_scan
+from dossier.session import stage
 
 QUERY_BYTES = 64 << 20
-BLOCK_ROWS = 8192
 DECIMALS = 6
 # Distance tiles: rows x queries (squared L2 also holds the dimension).
 ROW_TILE = 4096
@@ -55,15 +55,7 @@ def _empty(n: int) -> list:
     return [(np.empty(0), np.empty(0, dtype="int64")) for _ in range(n)]
 
 
-def _mask(dist, ids, chapters, qids, wheres, exclude_self):
-    if wheres is not None:
-        dist = np.where(np.asarray(wheres)[:, None] == np.asarray(chapters)[None, :], dist, np.inf)
-    if exclude_self:
-        dist = np.where(np.asarray(qids)[:, None] == np.asarray(ids)[None, :], np.inf, dist)
-    return dist
-
-
-def _scan_batch(best, batch, qids, q, metric, k, wheres=None, exclude_self=False, qcodes=None, radius=0) -> None:
+def _scan_batch(best, batch, qids, q, metric, k, exclude_self=False, qcodes=None, radius=0) -> None:
     """Distances of one Arrow batch to all queries, in tiles that keep the matrix small."""
     rows, width = ROW_TILE, QUERY_TILE if metric == "cosine" else L2_QUERY_TILE
     for at in range(0, len(batch), rows):
@@ -76,8 +68,8 @@ def _scan_batch(best, batch, qids, q, metric, k, wheres=None, exclude_self=False
             if qcodes is not None:
                 flips = np.bitwise_count(qcodes[lo:hi, None] ^ part["code"].to_numpy("int64")[None, :])
                 dist = np.where(flips <= radius, dist, np.inf)
-            where = None if wheres is None else wheres[lo:hi]
-            dist = _mask(dist, ids, part["chapter"] if where is not None else None, qids[lo:hi], where, exclude_self)
+            if exclude_self:
+                dist = np.where(qids[lo:hi, None] == ids[None, :], np.inf, dist)
             tile = best[lo:hi]
             _keep_best(tile, ids, dist, k)
             best[lo:hi] = tile
@@ -93,45 +85,41 @@ def _emit(qids, best) -> pd.DataFrame:
     )
 
 
-def _broadcast_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, where: bool, exclude_self: bool) -> DataFrame:
-    cols = ["qid", "embedding", *(["where"] if where else [])]
-    rows = queries.select(*cols).toPandas()
+def _search_slice(vectors: DataFrame, queries: DataFrame, k: int, metric: str, where: bool, exclude_self: bool) -> DataFrame:
+    """Every vector against one slice of queries. With ``where``, vectors of chapters that no query names are not read, and a
+    vector meets only the queries of its own chapter."""
+    rows = queries.select("qid", "embedding", *(["where"] if where else [])).toPandas()
     if rows.empty:
         return vectors.sparkSession.createDataFrame([], "qid long, id long, distance double")
-    payload = vectors.sparkSession.sparkContext.broadcast(
-        (rows["qid"].to_numpy("int64"), np.stack(rows["embedding"]).astype("float64"), rows["where"].to_numpy() if where else None)
-    )
+    groups: dict = {}
+    if where:
+        rows = rows[rows["where"].notna()].reset_index(drop=True)
+        groups = {w: np.asarray(at) for w, at in rows.groupby("where").indices.items()}
+        if not groups:
+            return vectors.sparkSession.createDataFrame([], "qid long, id long, distance double")
+    payload = vectors.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy("int64"), np.stack(rows["embedding"]).astype("float64"), groups))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q, wheres = payload.value
+        qids, q, groups = payload.value
         best = _empty(len(qids))
         for batch in batches:
-            _scan_batch(best, batch, qids, q, metric, k, wheres, exclude_self)
+            if not where:
+                _scan_batch(best, batch, qids, q, metric, k, exclude_self)
+                continue
+            for chapter, part in batch.groupby("chapter"):
+                at = groups.get(chapter, np.empty(0, np.int64))
+                mine = [best[i] for i in at]
+                _scan_batch(mine, part, qids[at], q[at], metric, k, exclude_self)
+                for i, found in zip(at, mine):
+                    best[i] = found
         yield _emit(qids, best)
 
     side = vectors.select("id", "embedding", *(["chapter"] if where else []))
+    if where:
+        side = side.filter(F.col("chapter").isin([w.item() if hasattr(w, "item") else w for w in groups]))
     return side.mapInPandas(scan, "qid long, id long, distance double")
 
 
-def _block_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, where: bool, exclude_self: bool, n_vectors: int, n_queries: int) -> DataFrame:
-    vblocks, qblocks = -(-n_vectors // BLOCK_ROWS), -(-n_queries // BLOCK_ROWS)
-    v = vectors.select("id", "embedding", *(["chapter"] if where else []))
-    v = v.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(vblocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1)).cast("array<bigint>")))
-    q = queries.select("qid", F.col("embedding").alias("q"), *(["where"] if where else []))
-    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qblocks))).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(vblocks - 1)).cast("array<bigint>")))
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"qid": [], "id": [], "distance": []}).astype({"qid": "int64", "id": "int64"})
-        qids = right["qid"].to_numpy("int64")
-        best = _empty(len(qids))
-        wheres = right["where"].to_numpy() if where else None
-        _scan_batch(best, left, qids, np.stack(right["q"]).astype("float64"), metric, k, wheres, exclude_self)
-        return _emit(qids, best)
-
-    return v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(pair, "qid long, id long, distance double")
-
-
 def knn(
     vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", where: bool = False,
     exclude_self: bool = False, query_bytes: int = QUERY_BYTES,
@@ -139,14 +127,16 @@ def knn(
     """Exact top-k per query: qid, id, distance (6 decimals), rank; ties by id.
 
     ``vectors``: id, embedding [, chapter]; ``queries``: qid, embedding [, where]. With ``where`` only
-    vectors of that chapter compete. ``metric`` is cosine or l2 (squared).
+    vectors of that chapter compete; a query without one finds nothing. ``metric`` is cosine or l2 (squared). Slices hold
+    ``query_bytes`` at most; all but a single one are searched and written before the next is read.
     """
-    n_queries, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    if n_queries * dim * 8 <= query_bytes:
-        found = _broadcast_search(vectors, queries, k, metric, where, exclude_self)
-    else:
-        found = _block_search(vectors, queries, k, metric, where, exclude_self, vectors.count(), n_queries)
-    return top_k(found, k)
+    asked = stage(queries.select("qid", "embedding", *(["where"] if where else [])))
+    n_queries, dim = asked.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    slices = max(1, min(n_queries, -(-n_queries * dim * 8 // query_bytes)))
+    if slices == 1:
+        return top_k(_search_slice(vectors, asked, k, metric, where, exclude_self), k)
+    part = F.pmod(F.xxhash64("qid"), F.lit(slices))
+    return reduce(DataFrame.union, [stage(top_k(_search_slice(vectors, asked.filter(part == i), k, metric, where, exclude_self), k)) for i in range(slices)])
 
 
 def top_k(found: DataFrame, k: int, by: str = "qid") -> DataFrame:
@@ -171,12 +161,13 @@ def bucketed_knn(bucketed: DataFrame, queries: DataFrame, k: int, bits: int, rad
     vector of a probed bucket is looked at whatever its size; nothing is capped. Queries over the byte limit go in
     slices by the hash of their id, one scan each.
     """
-    coded = queries.withColumn("qcode", sign_code(F.col("embedding"), bits))
+    coded = stage(queries.select("qid", "embedding").withColumn("qcode", sign_code(F.col("embedding"), bits)))
     size, dim = coded.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
-    slices = max(1, -(-size * dim * 8 // QUERY_BYTES))
+    slices = max(1, min(size, -(-size * dim * 8 // QUERY_BYTES)))
+    if slices == 1:
+        return top_k(_bucketed_search(bucketed, coded, k, bits, radius, metric), k)
     part = F.pmod(F.xxhash64("qid"), F.lit(slices))
-    found = [_bucketed_search(bucketed, coded.filter(part == i) if slices > 1 else coded, k, bits, radius, metric) for i in range(slices)]
-    return top_k(reduce(DataFrame.union, found), k)
+    return reduce(DataFrame.union, [stage(top_k(_bucketed_search(bucketed, coded.filter(part == i), k, bits, radius, metric), k)) for i in range(slices)])
 
 
 def _bucketed_search(bucketed: DataFrame, coded: DataFrame, k: int, bits: int, radius: int, metric: str) -> DataFrame:

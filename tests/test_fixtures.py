@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 
 import numpy as np
 import pytest
@@ -224,9 +225,8 @@ def _vectors(spark, n=200, dim=8, seed=1):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("limit", [1 << 30, 1])
+@pytest.mark.parametrize("limit", [1 << 30, 8000])
 def test_knn_both_paths_match_brute_force(spark, metric, limit, monkeypatch):
-    monkeypatch.setattr(rt, "BLOCK_ROWS", 64)
     x, v = _vectors(spark)
     q = v.select(F.col("id").alias("qid"), "embedding")
     got = rt.knn(v, q, 4, metric=metric, exclude_self=True, query_bytes=limit).collect()
@@ -659,3 +659,21 @@ def test_evidence_flow_falls_back_and_ranks_twice(spark):
     assert out["r"].limitations == ["search_error: b", "search_error: d", "fetch_error: a"] and " Limitations: search_error: b; " in out["r"].summary
     assert out["q"].limitations == ["search_error: all"] and out["q"].final_decision == "reject" and out["none"].limitations == []
     assert flow.limitations.count() == 4
+
+
+def test_filtered_search_reads_only_the_chapters_that_queries_name(spark, tmp_path):
+    v = spark.createDataFrame([(i, f"c{i % 5}", [float(i % 7), float(i % 3), 1.0]) for i in range(200)], "id long, chapter string, embedding array<double>")
+    v.write.partitionBy("chapter").parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    q = spark.createDataFrame([(1, [1.0, 0.0, 1.0], "c1"), (2, [0.0, 1.0, 1.0], "c3"), (3, [1.0, 1.0, 1.0], "c1"), (4, [1.0, 1.0, 1.0], None), (5, [1.0, 0.0, 0.0], "none")], "qid long, embedding array<double>, where string")
+    for limit in (1 << 20, 30):
+        got = rt.knn(stored, q, 3, where=True, query_bytes=limit)
+        rows = {(r.qid, r["rank"]): (r.distance, r.id) for r in got.collect()}
+        for qid, vec, chapter in ((1, (1.0, 0.0, 1.0), 1), (2, (0.0, 1.0, 1.0), 3), (3, (1.0, 1.0, 1.0), 1)):
+            x = {i: (float(i % 7), float(i % 3), 1.0) for i in range(200) if i % 5 == chapter}
+            cos = lambda a, b: sum(p * r for p, r in zip(a, b)) / math.sqrt(sum(p * p for p in a) * sum(r * r for r in b))
+            best = sorted((round(1 - cos(vec, e), 6), i) for i, e in x.items())[:3]
+            assert [rows[qid, k] for k in (1, 2, 3)] == best
+        assert {k[0] for k in rows} == {1, 2, 3}
+    text = rt.knn(stored, q, 3, where=True)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in text and "chapter" in text.split("PartitionFilters: [")[1].split("]")[0] and "c1" in text
