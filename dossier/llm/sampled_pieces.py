@@ -114,8 +114,8 @@ class Starts(dict):
 class Lattices:
     """Word lattices, one node per character, appended word by word; edge probabilities are conditional on the node."""
 
-    def __init__(self, vocabulary: Pieces) -> None:
-        self.v = vocabulary
+    def __init__(self, vocabulary: Pieces, most: int = NODE_CACHE) -> None:
+        self.v, self.most = vocabulary, most
         self.clear()
 
     def clear(self) -> None:
@@ -129,7 +129,7 @@ class Lattices:
 
     def starts(self, words: list[str]) -> np.ndarray:
         """First node of each word; unknown words are added together."""
-        if len(self.first) > NODE_CACHE:
+        if len(self.first) > self.most:
             self.clear()
         at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         new, self.words.new = self.words.new, []
@@ -259,9 +259,9 @@ _WORDS = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
 class Sampler:
-    def __init__(self, path: str, alpha: float, samples: int, seed: int) -> None:
+    def __init__(self, path: str, alpha: float, samples: int, seed: int, most: int = NODE_CACHE) -> None:
         self.v, self.samples, self.seed = pieces(path, alpha), samples, seed
-        self.lattices = Lattices(self.v)
+        self.lattices = Lattices(self.v, most)
 
     def run(self, texts: list[str | None], keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
         """(text, sample, edges as piece ids, log-probability, perturbed value, log of the inclusion score) of each sample."""
@@ -363,19 +363,20 @@ class Sampler:
         return np.concatenate([*out, found[done:]])
 
 
-def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = 5) -> DataFrame:
+def sample_segmentations(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, seed: int = 5, slice_bytes: int = 1 << 20, node_cache: int = NODE_CACHE) -> DataFrame:
     """doc_id, sample, ids, n_pieces, log_prob, perturbed, log_inclusion: up to ``samples`` distinct segmentations of every whole text.
 
     Samples come in falling order of ``perturbed``. ``log_inclusion`` is the log of the chance that a segmentation
     with that probability is drawn, given the next best value; 0 if the lattice has no further path. A text with fewer segmentations gives as many rows
     as it has. Null and empty texts give one row with no pieces. Random numbers follow from ``seed`` and the id: repeated rows
-    give repeated samples, a null id is a key of its own. An empty table gives no rows; other columns are ignored.
+    give repeated samples, a null id is a key of its own. An empty table gives no rows; other columns are ignored. A worker takes texts of
+    ``slice_bytes`` at a time and forgets its word lattices beyond ``node_cache`` nodes: less of either is less memory and more time, with equal results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(model, alpha, samples, seed)
+        sampler = Sampler(model, alpha, samples, seed, node_cache)
         for batch in batches:
-            for piece in text_slices(batch, "text", 1 << 20):
+            for piece in text_slices(batch, "text", slice_bytes):
                 texts = piece.column("text").to_pylist()
                 keys = piece.column("key").to_numpy().view(np.uint64)
                 rows = [(i, rank, sampler.ids(path, texts[i]), lp, g, q) for i, rank, path, lp, g, q in sampler.run(texts, keys)]

@@ -234,3 +234,10 @@ def test_queries_against_sql(spark, name):
     from dossier.llm.queries import LLM_QUERIES, LLM_SQL
 
     assert compare.diff(LLM_QUERIES[name](spark, SF), compare.connect(SF), LLM_SQL[name])[0] is None
+
+
+def test_small_slices_and_caches_give_equal_samples(documents, pieces_file):
+    few = sampled_pieces.sample_segmentations(documents, pieces_file, slice_bytes=1 << 12, node_cache=1 << 10)
+    plain = sampled_pieces.sample_segmentations(documents, pieces_file)
+    rows = lambda df: {(r.doc_id, r["sample"]): (tuple(r.ids), round(r.log_prob, 9), round(r.perturbed, 9), round(r.log_inclusion, 9)) for r in df.collect()}
+    assert rows(few) == rows(plain)
