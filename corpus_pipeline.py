@@ -41,9 +41,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document that is left."""
+    """Sampled segmentations of each document that is left, in small slices, as the workers still hold what earlier stages left them."""
     ship_package(spark)
-    return sampled_pieces.sample_segmentations(docs, tokenizer_file("piece_bpe_32k.model"))
+    return sampled_pieces.sample_segmentations(docs, tokenizer_file("piece_bpe_32k.model"), slice_bytes=1 << 17, node_cache=1 << 19)
 
 
 STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mixing", mixing), ("encoding", encoding)]
