@@ -79,7 +79,8 @@ def probably_in(df: DataFrame, key: Column, keys: DataFrame, mark: str | None =
 
     The keys become a bit set of 2**bits bits, 8 MiB by default whatever their number, cut into slices of 2 KiB.
     That bound is what allows the broadcast. As the set fills up, fewer rows are held back and an exact join,
-    which always has to follow, does more; no row is lost.
+    which always has to follow, does more; no row is lost. The caller's row travels as one struct, so its columns may have any
+    names but ``mark``. A null key is a value like any other; repeated rows stay repeated; no keys: no row may be among them.
     """
     slices = bits - SLICE_BITS
     (name,) = keys.columns
@@ -89,15 +90,15 @@ def probably_in(df: DataFrame, key: Column, keys: DataFrame, mark: str | None =
         return F.shiftrightunsigned(h, 64 - slices).cast("int"), F.shiftrightunsigned(h, 64 - bits).bitwiseAND((1 << SLICE_BITS) - 1).cast("int")
 
     part, at = place(F.col(name))
-    words = keys.select(part.alias("_slice"), F.shiftright(at, 5).alias("_word"), F.call_function("shiftleft", F.lit(1), at.bitwiseAND(31)).alias("_bit"))
-    words = words.groupBy("_slice", "_word").agg(F.bit_or("_bit").alias("_bits"))
-    packed = words.groupBy("_slice").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_map"))
+    words = keys.select(part.alias("slice"), F.shiftright(at, 5).alias("word"), F.call_function("shiftleft", F.lit(1), at.bitwiseAND(31)).alias("bit"))
+    words = words.groupBy("slice", "word").agg(F.bit_or("bit").alias("bits"))
+    packed = words.groupBy("slice").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
     held = packed.select(
-        "_slice", F.transform(F.sequence(F.lit(0), F.lit((1 << SLICE_BITS - 5) - 1)), lambda i: F.coalesce(F.col("_map")[i], F.lit(0))).alias("_set")
+        "slice", F.transform(F.sequence(F.lit(0), F.lit((1 << SLICE_BITS - 5) - 1)), lambda i: F.coalesce(F.col("words")[i], F.lit(0))).alias("set")
     )
     part, at = place(key)
-    probe = df.withColumn("_slice", part).withColumn("_at", at)
-    hit = F.call_function("shiftrightunsigned", F.get("_set", F.shiftright("_at", 5)), F.col("_at").bitwiseAND(31)).bitwiseAND(1) == 1
+    probe = df.select(F.struct("*").alias("row"), part.alias("slice"), at.alias("at"))
+    hit = F.call_function("shiftrightunsigned", F.get("set", F.shiftright("at", 5)), F.col("at").bitwiseAND(31)).bitwiseAND(1) == 1
     if mark:
-        return probe.join(F.broadcast(held), "_slice", "left").withColumn(mark, F.coalesce(hit, F.lit(False))).drop("_slice", "_at", "_set")
-    return probe.join(F.broadcast(held), "_slice").filter(hit).drop("_slice", "_at", "_set")
+        return probe.join(F.broadcast(held), "slice", "left").select("row.*", F.coalesce(hit, F.lit(False)).alias(mark))
+    return probe.join(F.broadcast(held), "slice").filter(hit).select("row.*")

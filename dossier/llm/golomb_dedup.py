@@ -140,19 +140,19 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns.
 
     Rows that may have to go are found by a bounded filter and joined; the others pass without a shuffle. Rows that repeat
-    both id and text become one of them.
+    both id and text become one of them. Columns may have any names; an empty table gives no rows.
     """
     groups = stage(exact_groups(docs))
     touched = groups.filter("not kept").select("text_sha256").distinct()
     keep = groups.filter("kept").join(touched, "text_sha256", "left_semi").select("text_sha256", "keep_id", "repeats")
     sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    hashed = docs.withColumn("_sha", sha)
-    found = probably_in(hashed, F.col("_sha"), touched, mark="_maybe")
-    clear = found.filter("not _maybe").drop("_sha", "_maybe")
-    doubt = found.filter("_maybe").drop("_maybe")
-    kept = doubt.join(touched.withColumnRenamed("text_sha256", "_sha"), "_sha", "left_anti").select(*docs.columns)
-    wanted = keep.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), "repeats").withColumnRenamed("repeats", "_repeats")
-    winners = doubt.join(wanted, "_sha").filter(F.col("doc_id").eqNullSafe(F.col("_keep")))
-    single = winners.filter("_repeats = 1").select(*docs.columns)
-    several = winners.filter("_repeats > 1").dropDuplicates(["_sha"]).select(*docs.columns)
+    hashed = docs.select(F.struct("*").alias("row"), sha.alias("sha"))
+    found = probably_in(hashed, F.col("sha"), touched, mark="maybe")
+    clear = found.filter("not maybe").select("row.*")
+    doubt = found.filter("maybe").select("row", "sha")
+    kept = doubt.join(touched.withColumnRenamed("text_sha256", "sha"), "sha", "left_anti").select("row.*")
+    wanted = keep.select(F.col("text_sha256").alias("sha"), "keep_id", "repeats")
+    winners = doubt.join(wanted, "sha").filter(F.col("row.doc_id").eqNullSafe(F.col("keep_id")))
+    single = winners.filter("repeats = 1").select("row.*")
+    several = winners.filter("repeats > 1").dropDuplicates(["sha"]).select("row.*")
     return clear.union(kept).union(single).union(several)

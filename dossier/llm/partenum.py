@@ -464,10 +464,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
 def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, with all their columns; rows with a null id stay.
 
-    Rows that may have to go are found by a bounded filter and joined; the others pass without a shuffle.
+    Rows that may have to go are found by a bounded filter and joined; the others pass without a shuffle. Rows that repeat
+    an id stay or go together. Columns may have any names; an empty table gives no rows.
     """
     groups = jaccard_components(docs, width, percent)
-    gone = stage(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    found = probably_in(docs, F.col("doc_id").cast("long"), gone, mark="_maybe")
-    doubt = found.filter("_maybe").drop("_maybe").withColumn("_gone", F.col("doc_id").cast("long"))
-    return found.filter("not _maybe").drop("_maybe").union(doubt.join(gone, "_gone", "left_anti").select(*docs.columns))
+    gone = stage(groups.filter("doc_id <> component_id").select("doc_id").distinct())
+    found = probably_in(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")), F.col("doc_id"), gone, mark="maybe")
+    return found.filter("not maybe").select("row.*").union(found.filter("maybe").join(gone, "doc_id", "left_anti").select("row.*"))

@@ -34,7 +34,9 @@ def op3_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_derivatives.derivatives(warc_derivatives.responses_from_pages(table(spark, sf_dir, "pages"))).drop("record")
+    """The records, each as written only by its digest and length, as its block is a column already."""
+    records = warc_derivatives.derivatives(warc_derivatives.responses_from_pages(table(spark, sf_dir, "pages")))
+    return records.withColumns({"record_sha256": F.sha2("record", 256), "record_length": F.octet_length("record").cast("long")}).drop("record")
 
 
 def op5_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

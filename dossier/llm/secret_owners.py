@@ -28,7 +28,7 @@ KINDS = ("assign", "access", "hex", "opaque")
 
 #: A run that mixes capitals, small letters and digits like a generated key does.
 OPAQUE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{28,}(?![A-Za-z0-9_-])")
-OPAQUE_PARTS = (re.compile(r"[A-Z].*[A-Z].*[A-Z]"), re.compile(r"[a-z].*[a-z].*[a-z]"), re.compile(r"[0-9].*[0-9].*[0-9]"))
+OPAQUE_PARTS = (re.compile(r"[A-Z][^A-Z]*[A-Z][^A-Z]*[A-Z]"), re.compile(r"[a-z][^a-z]*[a-z][^a-z]*[a-z]"), re.compile(r"[0-9][^0-9]*[0-9][^0-9]*[0-9]"))
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 OWNERS_OF_EXAMPLE = 3
@@ -47,9 +47,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def opaque_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    found = []
+    """Generated-looking runs that no base span touches; one sweep over both, as both come by start."""
+    found, at, reach = [], 0, 0
     for m in OPAQUE.finditer(text):
-        if all(p.search(m[0]) for p in OPAQUE_PARTS) and all(m.end() <= s or m.start() >= e for s, _, e, _ in base):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and all(p.search(m[0]) for p in OPAQUE_PARTS):
             found.append((m.start(), 3, m.end(), m[0]))
     return found
 

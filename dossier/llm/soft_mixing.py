@@ -194,7 +194,7 @@ def thin(docs: DataFrame, labels: DataFrame, factors: Sequence[float] = FACTORS,
     of the rows that are mostly of the first domain; those rows always stay, so the shares reached lie above the targets by
     what such rows hold of the other domains (see ``shares``). Rows go by id and text; an empty table gives no rows.
     ``labelled`` has the documents that the model is fitted on, by default ``docs``: pass the whole table when ``docs`` was
-    filtered by what the labels say.
+    filtered by what the labels say. Null and wordless texts have the prior's posteriors; columns may have any names.
     """
     table = stage(posteriors(docs, fit(docs if labelled is None else labelled, labels)))
     k, n = len(factors), F.col("n_tokens")
@@ -205,8 +205,9 @@ def thin(docs: DataFrame, labels: DataFrame, factors: Sequence[float] = FACTORS,
     rated = table.withColumn("rate", rate_of(fit_rates(table, wanted).gradients, k))
     main = F.get("p", F.lit(0)) >= 0.5
     full = rated.filter(main).agg(F.sum(n * F.col("rate")) / F.sum(n)).first()[0] or 1.0
-    gone = stage(rated.filter(~main & (_draw(seed) >= F.col("rate") / full)).select(F.xxhash64("doc_id", "th").alias("_row")).distinct())
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    found = probably_in(docs, row, gone, mark="_maybe")
-    doubt = found.filter("_maybe").drop("_maybe").withColumn("_row", row)
-    return found.filter("not _maybe").drop("_maybe").union(doubt.join(gone, "_row", "left_anti").select(*docs.columns))
+    gone = stage(rated.filter(~main & (_draw(seed) >= F.col("rate") / full)).select(F.xxhash64("doc_id", "th").alias("key"), "doc_id", "th").distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
+    found = probably_in(rows, F.xxhash64("doc_id", "th"), gone.select("key"), mark="maybe")
+    away = gone.select(F.col("doc_id").alias("id"), F.col("th").alias("hash"))
+    same = F.col("th").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))
+    return found.filter("not maybe").select("row.*").union(found.filter("maybe").join(away, same, "left_anti").select("row.*"))

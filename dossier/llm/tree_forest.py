@@ -37,12 +37,12 @@ def _direction(node: int, place: int, attempt: int, dim: int) -> np.ndarray:
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
-    x = vectors.astype(np.float64)
+    x = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _stack(column) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float32) for v in column])
+    return np.stack([np.asarray(v, np.float64) for v in column])
 
 
 def _grow(spill: float):
@@ -156,14 +156,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
     Only vectors with equal, non-null labels are compared, by cosine in double precision; every link is checked, a pair that no
     leaf holds is missed (recall is measured in the tests). Null, empty or zero vectors and those with null or non-finite
     parts link with nothing, nor do vectors of different lengths. ``n_links`` counts the other rows linked directly, equal vectors included; component_id is the
-    smallest vec_id reachable; kept holds where it is the row's own. Equal vectors are compared once. An empty table gives
+    smallest vec_id reachable; kept holds where it is the row's own. Equal vectors are compared once. Floats stay floats on disk, other
+    numbers become doubles; lengths are taken after scaling by the largest part, so very small and large vectors link too. An empty table gives
     no rows; other columns are ignored. ``spill`` is in standard deviations of the projected distance of a pair at the threshold.
     """
     width = spill * sqrt(2 - 2 * threshold)
     dims = F.size("embedding")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = F.coalesce(F.col("embedding").isNotNull() & F.col("label").isNotNull() & (dims > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "label")
     rows = rows.select("vec_id", "embedding", "label", usable.alias("usable"), F.xxhash64("label", "embedding").alias("cid"))
     members = rows.select("vec_id", "usable", "cid")
     classes = stage(rows.filter("usable").groupBy("cid").agg(F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count("*").alias("many")))
@@ -178,7 +180,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, trees: int
         draw = F.pmod(F.xxhash64(F.lit(3), "node", "cid"), F.lit(1 << 20)) * F.col("n") < F.lit(SAMPLE_ROWS * (1 << 20))
         sample = open_rows.join(large, "node").filter(draw)
         models = stage(sample.groupBy("node").applyInPandas(_grow(width), "node long, attempts binary, cuts binary"))
-        routed = stage(open_rows.join(models, "node").mapInArrow(_route(width), "node long, cid long, embedding array<float>, final boolean"))
+        routed = stage(open_rows.join(models, "node").mapInArrow(_route(width), f"node long, cid long, embedding {kind}, final boolean"))
         leaves.append(routed.filter("final").select("node", "cid", "embedding"))
         open_rows = routed.filter("not final").select("node", "cid", "embedding")
     held = leaves[0].select(F.col("node").alias("leaf"), "cid", "embedding") if leaves else open_rows.select(F.col("node").alias("leaf"), "cid", "embedding")

@@ -1,6 +1,6 @@
 """URL filters by host-suffix and path-prefix expressions.
 
-Each distinct (host, path) is expanded into all pairs of a host suffix and a path prefix that a rule could name; the
+Each distinct (host, path) is expanded into all pairs of a host suffix and a path prefix of lengths that rules have; the
 expressions meet the rules on a 32-bit prefix of their SHA-256 digest, full digests confirm, and the longest rule wins.
 Built-in functions only.
 """
@@ -40,20 +40,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_rest(url), r"^[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
-def _host_suffixes(host: Column) -> Column:
-    parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+def _numbers(values: list[int]) -> Column:
+    return F.array(*[F.lit(n) for n in values]).cast("array<int>")
 
 
-def _path_prefixes(path: Column, lengths: list[int]) -> Column:
-    """Prefixes that end with a slash, the empty and the whole path, and those of the given lengths."""
-    parts = F.split(path, "/")
-    slashes = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
-    out = F.concat(F.array(F.lit(""), path), F.coalesce(slashes, F.array().cast("array<string>")))
-    if lengths:
-        fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
-        out = F.concat(out, F.transform(fits, lambda n: F.substring(path, F.lit(1), n)))
-    return F.array_distinct(out)
+def _host_suffixes(host: Column, lengths: list[int]) -> Column:
+    """The host and what follows each of its dots, where a rule's host has that length."""
+    size = F.length(host)
+    fits = F.filter(_numbers(lengths), lambda n: (n == size) | (n < size) & (F.substring(host, size - n, F.lit(1)) == "."))
+    return F.transform(fits, lambda n: F.substring(host, size - n + 1, n))
+
+
+def _path_prefixes(path: Column, closed: list[int], odd: list[int]) -> Column:
+    """Prefixes that end with a slash, of the lengths ``closed``, and all prefixes of the lengths ``odd``."""
+    size = F.length(path)
+    slashes = F.filter(_numbers(closed), lambda n: (n <= size) & (F.substring(path, n, F.lit(1)) == "/"))
+    others = F.filter(_numbers(odd), lambda n: n <= size)
+    return F.array_distinct(F.transform(F.concat(slashes, others), lambda n: F.substring(path, F.lit(1), n)))
 
 
 def _expression(host: Column, path: Column) -> Column:
@@ -67,18 +70,23 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     host and path together win, then the longer host, then block before allow. ``rule`` is host and path joined, null where
     none fits; ``verdict`` is then ``default``. A null url or one without "://" has empty host and path. Rules with a
     null part are ignored, repeated ones count once. Repeated pages are judged alike; an empty table gives no rows; other
-    columns are ignored. Rule paths that end inside a path segment cost one more expression per distinct length.
+    columns are ignored. Only lengths that rules have are expanded, so a url's expressions are bounded by the rules, however
+    long it is; rule paths that end inside a path segment cost one more expression per distinct length.
     """
     rules = rules.select("host", "path", "action").filter("host is not null and path is not null and action is not null").distinct()
-    odd = rules.filter("path <> '' and not endswith(path, '/')").select(F.length("path").alias("n")).distinct()
-    lengths = sorted(r["n"] for r in odd.toLocalIterator())
+    sizes = rules.select(F.explode(F.array(
+        F.struct(F.lit("host").alias("part"), F.length("host").alias("n")), F.struct(F.when(F.endswith("path", F.lit("/")), "closed").otherwise("odd").alias("part"), F.length("path").alias("n"))
+    )).alias("s")).select("s.*").distinct()
+    lengths: dict[str, list[int]] = {"host": [], "closed": [], "odd": []}
+    for r in sizes.sort("part", "n").toLocalIterator():
+        lengths[r["part"]].append(r["n"])
     digest = _expression(F.col("host"), F.col("path"))
     keyed = rules.select(digest.alias("rule_digest"), F.concat("host", "path").alias("rule"), "action", F.length("host").alias("host_len"))
     keyed = keyed.withColumn("short", F.substring("rule_digest", 1, 8))
 
     located = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     places = located.select("host", "path").distinct().filter("host <> ''")
-    pairs = places.withColumn("h", F.explode(_host_suffixes(F.col("host")))).withColumn("p", F.explode(_path_prefixes(F.col("path"), lengths)))
+    pairs = places.withColumn("h", F.explode(_host_suffixes(F.col("host"), lengths["host"]))).withColumn("p", F.explode(_path_prefixes(F.col("path"), lengths["closed"], lengths["odd"])))
     asked = pairs.select("host", "path", _expression(F.col("h"), F.col("p")).alias("digest")).withColumn("short", F.substring("digest", 1, 8))
     hits = asked.join(keyed, "short").filter("digest = rule_digest")
     rank = F.struct(F.length("rule"), "host_len", (F.col("action") == "block").alias("b"), "rule", "action")

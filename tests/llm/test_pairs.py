@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from dossier.llm import golomb_dedup, partenum, tree_forest
 from dossier.llm.common import probably_in
@@ -211,6 +212,17 @@ def test_vectors_against_brute_force(spark):
     assert all(got[i] == expected[i] for i in range(1501, 1508))
 
 
+def test_double_vectors_of_any_size(spark):
+    """Cosines in double precision where the parts, or their squares, are no floats; decimals become doubles."""
+    near = [1.0, 0.2030, 0.0]
+    rows = [(1, [1e-60, 0.0, 0.0], 1), (2, [2e-60, 0.0, 0.0], 1), (3, [1e40, 0.0, 0.0], 1), (4, [2e200, 0.0, 0.0], 1), (5, [1e-310, 0.0, 0.0], 1), (6, [0.0, 1e300, 1e300], 1), (7, near, 2), (8, [1.0, 0.0, 0.0], 2), (9, [1.0, 0.2031, 0.0], 2)]
+    assert 1 / np.hypot(1, 0.2030) >= 0.98 > 1 / np.hypot(1, 0.2031)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in tree_forest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (0, 6), 7: (2, 7), 8: (1, 7), 9: (1, 7)}
+    exact = spark.createDataFrame(rows[6:], "vec_id long, embedding array<double>, label int").withColumn("embedding", F.col("embedding").cast("array<decimal(12,6)>"))
+    assert {r["vec_id"]: r["n_links"] for r in tree_forest.near_duplicates(exact).collect()} == {7: 2, 8: 1, 9: 1}
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     """Leaves larger than a block are cut; nothing is lost or counted twice."""
     monkeypatch.setattr(tree_forest, "LEAF", 40)

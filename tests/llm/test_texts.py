@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import compare
@@ -44,6 +46,13 @@ def test_url_rules(spark, more):
     assert {r["verdict"] for r in url_rules.judge(pages, url_rules.rule_table(spark).limit(0)).collect()} == {"allow"}
 
 
+def test_very_long_urls(spark):
+    """Hosts and paths of a million characters: expressions follow the rules, not the url."""
+    long = [(1, "http://www.example.com/en/" + "a/" * 500_000), (2, "http://" + "a." * 500_000 + "example.com/en/x"), (3, "http://net/fr/" + "b" * 1_000_000)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge(spark.createDataFrame(long, "page_id long, url string"), url_rules.rule_table(spark)).collect()}
+    assert got == {1: ("www.example.com/en/", "allow"), 2: ("example.com/en/", "block"), 3: ("net/fr/", "block")}
+
+
 def test_url_rules_stay_in_the_engine(spark):
     plan = url_rules.judge(spark.read.parquet(f"{SF}/pages.parquet"), url_rules.rule_table(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
@@ -78,6 +87,42 @@ def test_warc_edges(spark, tmp_path):
     assert sorted(read) == sorted(r["block"].encode() for r in records)
 
 
+#: Opened and never closed marks, alone, before and after closed ones.
+OPEN_MARKS = ("<", "<!--", "<script>", "<style ", "<title>", "<title", "<br ", "</script ", "<a ", "&lt;", "<!-- > ", "<script></style>")
+
+
+def plain_page(html):
+    t = re.sub(r"(?s)<!--.*?-->", " ", html)
+    t = re.sub(r"(?is)<script\b.*?</script\s*>", " ", t)
+    t = re.sub(r"(?is)<style\b.*?</style\s*>", " ", t)
+    t = re.sub(r"(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/title|/section|/article|/ul|/ol|/table)\b[^>]*>", "\n", t)
+    t = re.sub(r"<[^>]*>", " ", t)
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        t = t.replace(name, char)
+    t = re.sub(r" ?\n[ \n]*", "\n", re.sub(r"[ \t\r\f]+", " ", t)).strip(" \n")
+    title = re.search(r"(?is)<title[^>]*>(.*?)</title", html)
+    links = len(re.findall(r"(?i)<a\s[^>]*href\s*=", html))
+    return t, re.sub(r"[ \t\r\n\f]+", " ", title[1]).strip(" ") if title else "", links
+
+
+def test_pages_with_marks_left_open(spark):
+    rng = random.Random(4)
+    parts = [*OPEN_MARKS, "-->", ">", "</script>", "</STYLE >", "</title>", "</p>", "href =", "<A\n", "href", "x", " é ", "\n"]
+    html = [m * 3 for m in OPEN_MARKS] + ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(html)), "i long, h string")
+    shown = frame.select("i", warc_derivatives.plain_text(F.col("h")), warc_derivatives.title_of(F.col("h")), warc_derivatives.n_links_of(F.col("h")))
+    got = {r[0]: tuple(r)[1:] for r in shown.collect()}
+    assert got == {i: plain_page(h) for i, h in enumerate(html)}
+
+
+def test_broken_pages_take_linear_time(spark):
+    html = [m * (1_000_000 // len(m)) for m in OPEN_MARKS]
+    frame = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").withColumn("url", F.lit("http://a/"))
+    began = time.monotonic()
+    assert warc_derivatives.derivatives(warc_derivatives.responses_from_pages(frame)).agg(F.sum(F.length("record"))).first()[0] > 0
+    assert time.monotonic() - began < 120
+
+
 PATTERNS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 20),
@@ -118,6 +163,20 @@ def test_secrets(spark):
     assert secret_owners.find_secrets(docs.limit(0), F.col("o"), F.col("r")).count() == 0
 
 
+def test_opaque_spans_in_one_sweep():
+    """Against all pairs on mixed texts, and 10^5 spans of both sorts in little time."""
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choice([f"token={KEY} ", f"{KEY} ", f"{KEY}{'0a' * 14} ", "0a" * 14 + " ", "secret: ", "AKIA" + "B" * 20, "- "]) for _ in range(12))
+        base = secret_owners.base_spans(text)
+        want = [(m.start(), m.end()) for m in secret_owners.OPAQUE.finditer(text) if all(p.search(m[0]) for p in secret_owners.OPAQUE_PARTS) and all(m.end() <= s or m.start() >= e for s, _, e, _ in base)]
+        assert [(s, e) for s, _, e, _ in secret_owners.opaque_spans(text, base)] == want
+    text = f"token={KEY} {KEY} " * 50_000
+    began = time.monotonic()
+    assert len(secret_owners.opaque_spans(text, secret_owners.base_spans(text))) == 50_000
+    assert time.monotonic() - began < 10
+
+
 def test_every_opaque_span_has_a_class(spark):
     long = KEY * 6
     rows = [(1, f"a {KEY}", "o1"), (2, f"b {KEY} {long}", "o2"), (3, f"c {'Q' + KEY}", "o1"), (4, f"{'R' + KEY}", "o1"), (5, f"{'R' + KEY}", "o2"), (6, f"{'R' + KEY}", "o3"), (7, "none", "o1")]
