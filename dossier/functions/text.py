@@ -96,30 +96,31 @@ def split_every(c: Column, max_words: int) -> Column:
     return bind(words(c), pieces)
 
 
-def pack(segments: Column, max_words: int = MAX_WORDS) -> Column:
-    """Greedy packing of ordered segments; oversize segments are hard split.
+def pack_marked(segments: Column, max_words: int = MAX_WORDS) -> Column:
+    """array<struct(t, cut)>: greedy packing of ordered segments; ``cut`` marks the pieces of hard split oversize ones.
 
     The accumulator keeps finished pieces, the open piece and its word count.
     """
     sized = F.transform(segments, lambda s: F.struct(s.alias("t"), word_count(s).alias("n")))
     start = F.struct(
-        F.expr(EMPTY_TEXTS).alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n")
+        F.expr("cast(array() as array<struct<t: string, cut: boolean>>)").alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n")
     )
 
+    def piece(t: Column, cut: bool) -> Column:
+        return F.struct(t.alias("t"), F.lit(cut).alias("cut"))
+
     def close(acc: Column) -> Column:
-        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"])
+        return F.when(acc["n"] > 0, F.concat(acc["done"], F.array(piece(acc["cur"], False)))).otherwise(acc["done"])
 
     def state(done: Column, cur: Column, n: Column) -> Column:
         return F.struct(done.alias("done"), cur.alias("cur"), n.alias("n"))
 
     def step(acc: Column, seg: Column) -> Column:
         grown = F.when(acc["n"] > 0, F.concat(acc["cur"], F.lit(" "), seg["t"])).otherwise(seg["t"])
+        hard = F.transform(split_every(seg["t"], max_words), lambda t: piece(t, True))
         return (
             F.when(seg["n"] == 0, acc)
-            .when(
-                seg["n"] > max_words,
-                state(F.concat(close(acc), split_every(seg["t"], max_words)), F.lit(""), F.lit(0)),
-            )
+            .when(seg["n"] > max_words, state(F.concat(close(acc), hard), F.lit(""), F.lit(0)))
             .when(acc["n"] + seg["n"] > max_words, state(close(acc), seg["t"], seg["n"]))
             .otherwise(state(acc["done"], grown, acc["n"] + seg["n"]))
         )
@@ -127,6 +128,11 @@ def pack(segments: Column, max_words: int = MAX_WORDS) -> Column:
     return F.aggregate(sized, start, step, close)
 
 
+def pack(segments: Column, max_words: int = MAX_WORDS) -> Column:
+    """Greedy packing of ordered segments; oversize segments are hard split."""
+    return F.transform(pack_marked(segments, max_words), lambda p: p["t"])
+
+
 def split_long(c: Column, max_words: int = MAX_WORDS, mode: str = "paragraph", separator: str = "\n{2,}") -> Column:
     """Pieces of a long section. ``paragraph`` packs paragraphs, ``sentence`` packs sentences."""
     parts = sentences(c) if mode == "sentence" else paragraphs(c, separator)

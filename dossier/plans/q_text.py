@@ -78,12 +78,11 @@ def force_split(spark, d):
 )
 def pack_sentences(spark, d):
     """Sentence packing to 120 words; oversize sentences are hard split."""
-    p = _docs(spark, d).select("doc_id", tx.split_long(F.col("text"), 120, "sentence").alias("p"), tx.sentences(F.col("text")).alias("s"))
-    p = p.withColumn("cut", F.flatten(F.transform(F.filter("s", lambda t: tx.word_count(t) > 120), lambda t: tx.split_every(t, 120))))
-    whole = F.filter("p", lambda t: ~F.array_contains(F.col("cut"), t))
+    p = _docs(spark, d).select("doc_id", tx.pack_marked(tx.sentences(F.col("text")), 120).alias("p"))
+    whole = F.transform(F.filter("p", lambda x: ~x["cut"]), lambda x: x["t"])
     return p.filter(F.size("p") > 0).select(
         "doc_id", F.size("p").cast("long").alias("pieces"),
-        F.aggregate("p", F.lit(0).cast("long"), lambda a, t: a + tx.word_count(t)).alias("words"),
+        F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + tx.word_count(x["t"])).alias("words"),
         F.array_min(F.transform(whole, F.md5)).alias("least_digest"),
     )
 
