@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.functions.glyphs import repair, residual_codes
+from dossier.functions.glyphs import distinct_codes
 from dossier.functions.text import bind, strip, word_count
+from dossier.operators.glyph_repair import repair_texts
 from dossier.operators.scans import AT, PART, range_sort, scan_ranges
 from dossier.session import stage
 
@@ -58,24 +59,25 @@ def reading_order(blocks: DataFrame, full_width: float = 0.70) -> DataFrame:
 def assemble_lines(spans: DataFrame, glyph_map: DataFrame | None = None) -> DataFrame:
     """One element per line: repaired spans joined, the first non-skip span gives role, font and size.
 
-    ``glyph_map`` is (font, entries: array<struct(glyph, replacement)>); Spark picks the join side by size.
+    ``glyph_map`` is (font, entries: array<struct(glyph, replacement)>), see repair_texts.
     """
     s = spans
     if glyph_map is not None:
-        s = s.join(glyph_map, "font", "left").withColumn("text", repair(F.col("text"), F.col("entries"))).drop("entries")
+        s = repair_texts(s, glyph_map, "text", "text")
     s = s.withColumn("size", F.round("size", 1)).withColumn("role", span_role(F.col("font"), F.col("size"), F.col("text")))
     s = s.filter("role <> 'skip'")
     keys = [c for c in ("chapter", "page", "block", "line") if c in s.columns]
-    parts = F.array_sort(F.collect_list(F.struct("span", "text", residual_codes(F.col("text")).alias("codes"))))
+    parts = F.array_sort(F.collect_list(F.struct("span", "text", "role", "font", "size")))
+    head = F.get("p", F.lit(0))
     return (
         s.groupBy(*keys)
-        .agg(F.min_by(F.struct("role", "font", "size"), "span").alias("h"), parts.alias("p"))
+        .agg(parts.alias("p"))
         .select(
-            *keys, "h.role", "h.font", "h.size",
+            *keys, head["role"].alias("role"), head["font"].alias("font"), head["size"].alias("size"),
             strip(F.array_join(F.transform("p", lambda x: x["text"]), "")).alias("text"),
-            F.array_sort(F.array_distinct(F.flatten(F.transform("p", lambda x: x["codes"])))).alias("residual"),
         )
         .filter("text <> ''")
+        .withColumn("residual", distinct_codes(F.col("text")))
     )
 
 
