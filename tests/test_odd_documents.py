@@ -50,3 +50,34 @@ def test_whole_piece_equal_to_a_cut_one_keeps_its_digest(spark, docs):
 @pytest.mark.parametrize("name", ["redact_pii", "search_query"])
 def test_word_edges_are_those_of_the_sql(spark, docs, name):
     assert same(spark, docs(EDGES), name) is None
+
+
+GLYPHS = ["a  boat\n\n eagle-toe oo/ae x\ttab aaa", "none\nhi", "a" * 3000 + " " + "x" * 3000 + "\n" + "moon a b c d e f g h i j k", "", "toe toe\nthe sea."]
+
+
+@pytest.mark.parametrize(
+    "name",
+    "glyph_repair letter_scores new_glyph_entries top_residual_codes codes_per_font request_blocks font_samples flagged_per_font candidate_scores".split(),
+)
+def test_damaged_words_of_odd_lines(spark, docs, name):
+    # letter_scores splits words at tabs too, its SQL does not.
+    texts = [t.replace("\t", " ") for t in GLYPHS] if name == "letter_scores" else GLYPHS
+    assert same(spark, docs(texts, ("de", "fr", "de")), name) is None
+
+
+def test_texts_are_not_joined_by_font(spark, docs):
+    """Without size hints of the planner the few map rows still go to the texts, not a font's texts to one task."""
+    folder, _ = docs(GLYPHS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entry.queries()["glyph_repair"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning(font" not in plan
+
+
+@pytest.mark.parametrize("name", ["top_residual_codes", "codes_per_font", "flagged_per_font", "font_samples", "letter_scores"])
+def test_counts_make_no_contexts(spark, docs, name):
+    folder, _ = docs(GLYPHS)
+    plan = entry.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" not in plan
