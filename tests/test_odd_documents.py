@@ -8,6 +8,7 @@ from compare import diff
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from dossier.plans import adapters
 
 LONG = " ".join(f"w{i}" for i in range(120))
 EDGES = [
@@ -81,3 +82,27 @@ def test_counts_make_no_contexts(spark, docs, name):
     folder, _ = docs(GLYPHS)
     plan = entry.queries()[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "slice(" not in plan
+
+
+WORD_SPLIT = "[\\s\\x1c-\\x1f]"
+
+
+def word_splits(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(WORD_SPLIT)
+
+
+def test_spans_are_counted_once(spark, docs):
+    """The word count of a line was put in place of every use of its size, in the roles and in the filter on them."""
+    folder, _ = docs(EDGES)
+    assert word_splits(entry.queries()["line_assembly"](spark, folder)) == 1
+
+
+def test_elements_are_counted_once(spark, docs):
+    folder, _ = docs(EDGES)
+    assert word_splits(adapters.elements(spark, folder).filter("role = 'body' and size < 10")) == 1
+
+
+@pytest.mark.parametrize("name", ["line_assembly", "wc_stats", "sectionise_lines"])
+def test_words_of_odd_lines(spark, docs, name):
+    texts = ["", " ", "\t", "one\n\n two　three \n \n a b c d e f g ", "a\x1cb\x85c d", "\n", f" {LONG} \n{LONG}\xa0"]
+    assert same(spark, docs(texts, ("de", "fr", "de")), name) is None
