@@ -22,7 +22,7 @@ from dossier.functions.text import (
     words,
 )
 from dossier.operators.scans import compose_order, fits_one_block, prefix_scan
-from dossier.session import stage
+from dossier.session import once, stage
 
 ESSENTIALS = "Essentials of Diagnosis"
 PART_BITS = 20
@@ -182,7 +182,7 @@ def structured_chunks(
     keep_essentials: bool = False,
 ) -> DataFrame:
     """The whole section-to-chunk build; ids may collide when long names share a slug (see repair_ids)."""
-    merged = forward_merge(drop_empty(sections), min_words, keep_essentials)
+    merged = forward_merge(drop_empty(once(sections, "word_count")), min_words, keep_essentials)
     parts = stage(emit_parts(merged, max_words, mode, header_pattern))
     chunks = late_merge(parts, number_parts(parts), min_words)
     return chunks.select(

@@ -72,6 +72,12 @@ def small_side(staged: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(staged) if staged.limit(rows + 1).count() <= rows else staged
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a costly column made once a row: as a plain projection it is put in place of its uses, once in every filter and flag."""
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode_outer(F.array(name)).alias(name)).select(*df.columns)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back.
 

@@ -97,6 +97,17 @@ def test_spans_are_counted_once(spark, docs):
     assert word_splits(entry.queries()["line_assembly"](spark, folder)) == 1
 
 
+def test_section_words_are_counted_once(spark, docs, monkeypatch):
+    """Every filter and flag on the words of a section used to count them again."""
+    from dossier.operators import chunking as ch
+
+    folder, _ = docs([*EDGES, "", " \n", f"{LONG}. {LONG}"])
+    made, merge = [], ch.forward_merge
+    monkeypatch.setattr(ch, "forward_merge", lambda s, *a: made.append(s) or merge(s, *a))
+    entry.queries()["wc_stats"](spark, folder)
+    assert word_splits(made[0].filter("word_count > 0 and word_count < 50")) == 1
+
+
 def test_elements_are_counted_once(spark, docs):
     folder, _ = docs(EDGES)
     assert word_splits(adapters.elements(spark, folder).filter("role = 'body' and size < 10")) == 1
