@@ -19,6 +19,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
 from math import exp, expm1, log, log1p
 
 import numpy as np
@@ -84,9 +85,9 @@ class Pieces:
         """Place of each hash among the prefixes, -1 for none."""
         slot = (mix64(h) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         at = self.slots[slot]
-        hit = (at >= 0) & (self.prefixes[at] == h)
-        rest = np.flatnonzero(~hit & self.crowded[slot])
-        at[~hit] = -1
+        miss = np.flatnonzero((at < 0) | (self.prefixes[at] != h))
+        rest = miss[self.crowded[slot[miss]]]
+        at[miss] = -1
         if len(rest):
             found = np.minimum(np.searchsorted(self.prefixes, h[rest]), len(self.prefixes) - 1)
             at[rest] = np.where(self.prefixes[found] == h[rest], found, -1)
@@ -99,18 +100,6 @@ def pieces(path: str, alpha: float) -> Pieces:
     return Pieces(path, alpha)
 
 
-class Starts(dict):
-    """Word -> first node; a new word is listed and gets -1, -2, ... until its lattice is there."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        self[word] = -len(self.new)
-        return -len(self.new)
-
-
 class Lattices:
     """Word lattices, one node per character, appended word by word; edge probabilities are conditional on the node."""
 
@@ -119,7 +108,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.words = Starts()
+        self.words: dict[str, int] = {}  # first node
         self.first = np.empty(0, np.int32)  # of a node: its first edge
         self.left = np.empty(0, np.int32)  # of a node: characters to its word's end
         self.above = np.empty(0)  # of an edge: node number + probability of the node's edges up to it
@@ -131,14 +120,15 @@ class Lattices:
         """First node of each word; unknown words are added together."""
         if len(self.first) > self.most:
             self.clear()
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        new, self.words.new = self.words.new, []
-        if new:
-            places = self._add(new)
-            at = np.where(at < 0, places[np.clip(-at - 1, 0, len(new) - 1)], at)
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+        miss = at < 0
+        if miss.any():
+            late = list(compress(words, miss.tolist()))
+            self._add(list(dict.fromkeys(late)))
+            at[miss] = np.fromiter(map(self.words.__getitem__, late), np.int64, len(late))
         return at
 
-    def _add(self, words: list[str]) -> np.ndarray:
+    def _add(self, words: list[str]) -> None:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -167,26 +157,31 @@ class Lattices:
         bare = np.flatnonzero(~single)  # characters that no piece writes go to bytes: piece -1
         src, piece, length = np.concatenate((src, bare)), np.concatenate((piece, np.full(len(bare), -1))), np.concatenate((length, np.ones(len(bare), np.int64)))
         weight = np.where(piece >= 0, self.v.weight[piece], 4 * self.v.weight.min())
-        order = np.lexsort((-length, src))  # longest first: it is mostly the likeliest, so few edges are looked at
+        order = np.argsort(src * (self.v.longest + 1) - length)  # longest first: it is mostly the likeliest, so few edges are looked at
         src, piece, length, weight = src[order], piece[order], length[order], weight[order]
-        first = np.searchsorted(src, np.arange(n + 1))
-        # Backward sums, for all characters at the same distance from their word's end together.
+        counts = np.bincount(src, minlength=n)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        # Backward sums, for all characters at the same distance from their word's end together: their edges are laid side by side.
         beta = np.zeros(n + 1)
-        by = np.argsort(left, kind="stable")
-        groups = np.searchsorted(left[by], np.arange(1, (left.max() if n else 0) + 2))
-        score = np.empty(len(src))
-        for a, b in zip(groups[:-1], groups[1:], strict=True):
-            nodes = by[a:b]
-            if not len(nodes):
+        most = int(left.max()) if n else 0
+        by = np.argsort(left.astype(np.uint16) if most < 1 << 16 else left, kind="stable")
+        counts = counts[by]
+        offs = np.cumsum(counts) - counts
+        edges = np.repeat(first[by] - offs, counts) + np.arange(len(src))
+        ahead = src + length
+        ahead = np.where(length == left[src], n, ahead)[edges]
+        along = weight[edges]
+        groups = np.concatenate(([0], np.cumsum(np.bincount(left, minlength=most + 1)[1:])))
+        for a, b in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
+            if a == b:
                 continue
-            counts = first[nodes + 1] - first[nodes]
-            offs = np.cumsum(counts) - counts
-            edges = np.repeat(first[nodes] - offs, counts) + np.arange(counts.sum())
-            ahead = np.where(length[edges] == left[src[edges]], 0.0, beta[src[edges] + length[edges]])
-            s = weight[edges] + ahead
-            score[edges] = s
-            top = np.maximum.reduceat(s, offs)
-            beta[nodes] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, counts)), offs))
+            lo, hi = int(offs[a]), int(offs[b]) if b < n else len(src)
+            s = along[lo:hi]
+            s += beta[ahead[lo:hi]]
+            top = np.maximum.reduceat(s, offs[a:b] - lo)
+            beta[by[a:b]] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, counts[a:b])), offs[a:b] - lo))
+        score = np.empty(len(src))
+        score[edges] = along
         logp = score - beta[src]
         p = np.exp(logp)
         run = np.cumsum(p)
@@ -201,7 +196,6 @@ class Lattices:
         self.piece, self.length, self.logp = np.concatenate((self.piece, piece.astype(np.int32))), np.concatenate((self.length, length.astype(np.int16))), np.concatenate((self.logp, logp))
         places = base + ends - sizes
         self.words.update(zip(words, places.tolist(), strict=True))
-        return places
 
     def edges(self, node: int) -> slice:
         return slice(self.first[node], self.first[node + 1] if node + 1 < len(self.first) else len(self.piece))
