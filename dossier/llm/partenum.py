@@ -7,8 +7,8 @@ each group into parts, more parts than the pair can differ in, and every subset
 gives one signature: the hash of the set's features in it. A pair that differs in at most that many features leaves
 some signed subset untouched, so it shares a signature.
 
-Signatures travel packed: each task sends one block per owner with 6 bytes of signature and a short index into the
-block's list of sets. Equal sets are one set id from the start. Owners return the sets that meet, as distinct
+Signatures travel packed: each task sends one block per owner with 6 bytes a signature, set by set, and the number of
+each set's signatures. Equal sets are one set id from the start. Owners return the sets that meet, as distinct
 member lists. Each list is compared with one leader first; after that only members of different components are
 still compared, by sketch and in blocks inside tasks, so a large group of near copies costs its size and not its square
 and no pairs are written out. Before features are fetched, an odd sketch of each set (about a bit per feature, the
@@ -245,25 +245,27 @@ def _apart(percent: int, forest: bool):
 
 
 def _pack(sigs: np.ndarray, upper: np.ndarray, owner_of: np.ndarray, index: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(owner, block) of signatures that come set by set (``index`` rises), so a block needs only each set's number of them."""
     order = np.argsort(owner_of, kind="stable")
     sigs, upper, owner_of, index = sigs[order], upper[order], owner_of[order], index[order]
     starts = np.flatnonzero(np.concatenate(([True], owner_of[1:] != owner_of[:-1])))
     for lo, hi in zip(starts, [*starts[1:], len(sigs)], strict=True):
-        used, local = np.unique(index[lo:hi], return_inverse=True)
-        head = np.array([hi - lo, len(used)], np.uint32).tobytes()
+        used, counts = np.unique(index[lo:hi], return_counts=True)
+        kind = np.uint16 if counts.max() < 1 << 16 else np.uint32
+        head = np.array([hi - lo, len(used), kind().itemsize], np.uint32).tobytes()
         six = sigs[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        yield int(owner_of[lo]), head + ids[used].tobytes() + sizes[used].tobytes() + local.astype(np.uint32 if len(used) > 65535 else np.uint16).tobytes() + six + np.packbits(upper[lo:hi]).tobytes()
+        yield int(owner_of[lo]), head + ids[used].tobytes() + sizes[used].tobytes() + counts.astype(kind).tobytes() + six + np.packbits(upper[lo:hi]).tobytes()
 
 
 def _unpack(block: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signatures, index of each one's set, ids and sizes of the sets, next-band marks)."""
-    m, k = np.frombuffer(block, np.uint32, 2, 0)
-    at = 8
+    m, k, width = np.frombuffer(block, np.uint32, 3, 0)
+    at = 12
     ids = np.frombuffer(block, np.uint64, k, at)
     sizes = np.frombuffer(block, np.uint32, k, at := at + 8 * int(k))
-    kind = np.uint32 if k > 65535 else np.uint16
-    local = np.frombuffer(block, kind, m, at := at + 4 * int(k))
-    at += int(m) * kind().itemsize
+    counts = np.frombuffer(block, np.uint16 if width == 2 else np.uint32, k, at := at + 4 * int(k))
+    local = np.repeat(np.arange(k, dtype=np.int32), counts)
+    at += int(k) * int(width)
     wide = np.zeros((int(m), 8), np.uint8)
     wide[:, :6] = np.frombuffer(block, np.uint8, 6 * int(m), at).reshape(-1, 6)
     upper = np.unpackbits(np.frombuffer(block, np.uint8, offset=at + 6 * int(m)), count=int(m))
@@ -323,7 +325,7 @@ def _meet(blocks: pa.Table) -> pa.Table:
     parts = [_unpack(x.as_buffer()) for x in blocks.column("bytes")]
     sigs = np.concatenate([x[0] for x in parts])
     shift = np.cumsum([0, *(len(x[2]) for x in parts[:-1])])
-    index = np.concatenate([x[1].astype(np.int32) + np.int32(n) for x, n in zip(parts, shift, strict=True)])
+    index = np.concatenate([x[1] + np.int32(n) for x, n in zip(parts, shift, strict=True)])
     every_id, every_size, upper = (np.concatenate([x[k] for x in parts]) for k in (2, 3, 4))
     del parts
     order = np.argsort(sigs)

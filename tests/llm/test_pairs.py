@@ -233,3 +233,19 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert all(r["n_links"] <= expected[r["vec_id"]][0] for r in got)
     assert sum(r["n_links"] for r in got) >= 0.95 * sum(e[0] for e in expected.values())
     assert tree_forest.near_duplicates(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [40, 70_000])
+def test_blocks_hold_no_index_per_signature(most):
+    """A block comes back as it was and takes little more than 6 bytes a signature (an index made it 8 and more)."""
+    rng = np.random.default_rng(3)
+    many = np.append(rng.integers(20, 40, 50), most)
+    index = np.repeat(np.arange(len(many)), many)
+    sigs, upper = rng.integers(0, 1 << 48, len(index)).astype(np.uint64), rng.integers(0, 2, len(index)).astype(bool)
+    owner = rng.integers(0, 2, len(index))
+    ids, sizes = rng.integers(0, 1 << 60, len(many)).astype(np.uint64), rng.integers(1, 999, len(many)).astype(np.uint32)
+    for o, block in partenum._pack(sigs, upper, owner, index, ids, sizes):
+        s, local, i, z, u = partenum._unpack(memoryview(block))
+        mine = owner == o
+        assert (s == sigs[mine]).all() and (i[local] == ids[index[mine]]).all() and (z[local] == sizes[index[mine]]).all() and (u == upper[mine]).all()
+        assert len(block) < 7.6 * mine.sum()
