@@ -5,11 +5,16 @@ word starts at the same place in two chunks, and it is a true word start in the
 A word start of the first chunk is proven when two more whole words follow it in the chunk and the longest special string
 could still be seen whole after it. Pairs of chunks without a common proven start are encoded again with twice the chunk
 and the overlap, in the end as one chunk.
+
+Short texts are counted by their units, cut where the pattern always begins a word. The library counts a unit once for as long
+as it is remembered; a tokenizer file that may look across such places gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,6 +29,13 @@ CHUNK = 32_768
 OVERLAP = 512
 LIMIT = 512
 
+# A unit ends before a blank that follows one of _SEEN, none of which is white space, and before one of _STOPS that follows a
+# letter: there the pattern always begins a word.
+_SEEN, _LETTERS, _STOPS = "!-~\u00a1-\u024f\u0370-\u03ff\u0400-\u052f", "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ",.;:!?"
+UNIT = re.compile(f"(?s:.)[^ {_STOPS}]*(?:(?:(?<![{_SEEN}]) +|(?<![{_LETTERS}])[{_STOPS}]+)[^ {_STOPS}]*)*")
+UNIT_CHARS = 64
+UNITS_KEPT = 1 << 18
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
@@ -36,6 +48,43 @@ def tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def cuts_in_units(path: str) -> bool:
+    """Whether a text's tokens are those of its units: the byte-level pattern on the text as it is, and no added token that a cut could split."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["normalizer"]
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(rf"[\s{_STOPS}]", t["content"])) for t in spec["added_tokens"])
+    return plain and added and model.get("type") == "BPE" and not model.get("dropout")
+
+
+class UnitCounts(dict):
+    """Token counts by unit, as the library gives them; forgotten when there are too many."""
+
+    def __init__(self, path: str):
+        self.tokenizer = tokenizer(path)
+
+    def of(self, texts: list[str]) -> list[int]:
+        units = [UNIT.findall(text) for text in texts]
+        every = set().union(*units)
+        new = list(every.difference(self))
+        if len(self) + len(new) > UNITS_KEPT:
+            self.clear()
+            new = list(every)
+        self.update(zip(new, (len(e) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        counts = [sum(map(self.__getitem__, found)) for found in units]
+        for u in new:
+            if len(u) > UNIT_CHARS:
+                del self[u]
+        return counts
+
+
+@lru_cache(maxsize=2)
+def unit_counts(path: str) -> UnitCounts:
+    return UnitCounts(path)
+
+
 def word_starts(encoding, low: int, high: int) -> list[tuple[int, int]]:
     """(offset, tokens before it) of the word starts with low <= offset < high."""
     out = []
@@ -54,10 +103,11 @@ def proven(encoding, length: int, low: int, margin: int) -> list[tuple[int, int]
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
+        t, units = tokenizer(path), unit_counts(path) if cuts_in_units(path) else None
         for batch in batches:
             for piece in text_slices(batch, "text", 1 << 20):
-                counts = [len(e) for e in t.encode_batch_fast(piece.column("text").to_pylist(), add_special_tokens=False)]
+                texts = piece.column("text").to_pylist()
+                counts = units.of(texts) if units is not None else [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
                 yield pa.record_batch({"doc_id": piece.column("doc_id"), "n_bytes": piece.column("n_bytes"), "n_tokens": pa.array(counts, pa.int64())})
         give_back()
 

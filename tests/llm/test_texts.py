@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import json
 import random
 import re
 import time
@@ -223,6 +224,57 @@ def test_token_counts_of_documents(documents, bpe_file):
     assert {r["doc_id"]: r["n_tokens"] for r in chunk_tokens.token_counts(documents, bpe_file, chunk=500, overlap=40).collect()} == want
 
 
+def test_units_count_as_the_library_does(bpe_file):
+    """Every cut begins a word; a unit that is remembered is not encoded again."""
+    t, counts, rng = chunk_tokens.tokenizer(bpe_file), chunk_tokens.UnitCounts(bpe_file), random.Random(5)
+    bits = [*" \t\n\r\x0b\x1c\x85\xa0\u2003\u3000\u200bab's\u00e9\u01311\u0663,.;:!?<|>\u037e\u0436\u4e2d\u0301\U0001f642", "  ", " a", "'ll", "3.14", "<|endoftext|>", " <|endoftext|> ", "e.g., "]
+    texts = [*(x or "" for x in HARD), *("".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(20_000))]
+    assert chunk_tokens.cuts_in_units(bpe_file)
+    assert all("".join(chunk_tokens.UNIT.findall(x)) == x for x in texts)
+    want = [len(e) for e in t.encode_batch(texts, add_special_tokens=False)]
+    for start in range(0, len(texts), 1000):
+        assert counts.of(texts[start : start + 1000]) == want[start : start + 1000]
+    assert max(map(len, counts)) <= chunk_tokens.UNIT_CHARS and len(counts) <= chunk_tokens.UNITS_KEPT
+
+    seen = []
+
+    class Watched:
+        def encode_batch_fast(self, units, **how):
+            seen.extend(units)
+            return t.encode_batch_fast(units, **how)
+
+    counts.tokenizer = Watched()
+    counts.clear()
+    assert counts.of(["the sea, the sea."] * 50) == counts.of(["the sea, the sea."] * 50) == [6] * 50
+    assert sorted(seen) == [" sea", " the", ",", ".", "the"]
+
+
+def test_units_are_forgotten_when_there_are_too_many(bpe_file, monkeypatch):
+    monkeypatch.setattr(chunk_tokens, "UNITS_KEPT", 10)
+    t, counts = chunk_tokens.tokenizer(bpe_file), chunk_tokens.UnitCounts(bpe_file)
+    for text in [" ".join(f"w{i}" for i in range(n, n + 6)) for n in range(0, 60, 3)]:
+        assert counts.of([text]) == [len(t.encode(text, add_special_tokens=False))] and len(counts) <= 10
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None},
+        {"normalizer": {"type": "NFC"}}, {"added_tokens": [{"id": 50256, "content": "a b", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]},
+    ],
+)
+def test_other_tokenizers_get_whole_texts(spark, bpe_file, tmp_path, change):
+    from tokenizers import Tokenizer
+
+    path = str(tmp_path / "other.json")
+    with open(bpe_file, encoding="utf-8") as f, open(path, "w", encoding="utf-8") as g:
+        json.dump(json.load(f) | change, g)
+    t, texts = Tokenizer.from_file(path), ["a b  c, a\tb", " e\u0301a b", "b. a b a"]
+    assert not chunk_tokens.cuts_in_units(path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in chunk_tokens.token_counts(docs, path).collect()} == {i: len(t.encode(x, add_special_tokens=False)) for i, x in enumerate(texts)}
+
+
 def all_segmentations(v, text):
     shown = sampled_pieces.SPACE + text.replace(" ", sampled_pieces.SPACE)
     ids = {v.texts[i]: i for i in np.flatnonzero(v.weight)}
