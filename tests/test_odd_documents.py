@@ -84,6 +84,14 @@ def test_counts_make_no_contexts(spark, docs, name):
     assert "slice(" not in plan
 
 
+def test_damaged_text_is_made_by_byte_searches(spark, docs):
+    """A translate looked up every character of every text."""
+    folder, _ = docs([*GLYPHS, "\ue001a\ue002 \U0001f642e"])
+    d = adapters.damaged(spark, folder)
+    assert d.filter(F.col("damaged") != F.translate("text", adapters.DAMAGE_FROM, adapters.DAMAGE_TO)).isEmpty()
+    assert "translate(" not in entry.queries()["new_glyph_entries"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+
+
 WORD_SPLIT = "[\\s\\x1c-\\x1f]"
 
 
