@@ -84,6 +84,10 @@ def test_counts_make_no_contexts(spark, docs, name):
     assert "slice(" not in plan
 
 
+def filters(df):
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x.split("(")[0]]
+
+
 def test_damaged_text_is_made_by_byte_searches(spark, docs):
     """A translate looked up every character of every text."""
     folder, _ = docs([*GLYPHS, "\ue001a\ue002 \U0001f642e"])
@@ -92,6 +96,13 @@ def test_damaged_text_is_made_by_byte_searches(spark, docs):
     assert "translate(" not in entry.queries()["new_glyph_entries"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["codes_per_font", "top_residual_codes", "glyph_frequency"])
+def test_codes_are_not_made_for_filters(spark, docs, name):
+    """An inferred filter on the codes of a word was put below the count of equal words, and made them twice for every word."""
+    folder, _ = docs(GLYPHS)
+    assert not any("regexp_extract_all" in x for x in filters(entry.queries()[name](spark, folder)))
+
+
 WORD_SPLIT = "[\\s\\x1c-\\x1f]"
 
 
