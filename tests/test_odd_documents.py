@@ -103,6 +103,19 @@ def test_codes_are_not_made_for_filters(spark, docs, name):
     assert not any("regexp_extract_all" in x for x in filters(entry.queries()[name](spark, folder)))
 
 
+def test_long_lines_do_not_repeat_their_words(spark):
+    """A damaged word used to carry all words of its line to the cut of its context, so a line of n words made n * n of them."""
+    from dossier.operators import glyph_repair as gr
+
+    texts = spark.createDataFrame([("de", 1, "\ue001 " * 60_000), ("de", 2, "x"), ("fr", 3, "a \ue002b"), ("de", 2**40, "\n\ue003  c\n\nd e f g h \ue003 i")], "font string, page long, text string")
+    rows = {(r.font, r.entry): r.line for r in gr.request_blocks_of_texts(texts, ("de", "fr")).collect()}
+    assert len(rows) == 60_003
+    assert rows["de", 30_000] == '30000. "\ue001"  (page 1, residual PUA chars: U+E001, surrounding context: "' + " ".join("\ue001" * 11) + '")'
+    assert rows["de", 60_001].endswith('context: "\ue003  c")') and rows["de", 60_002].endswith('context: "d e f g h \ue003 i")') and rows["fr", 1].endswith('context: "a \ue002b")')
+    plan = gr.request_blocks_of_texts(texts, ("de",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window")
+
+
 WORD_SPLIT = "[\\s\\x1c-\\x1f]"
 
 
