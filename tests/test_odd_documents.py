@@ -116,6 +116,16 @@ def test_long_lines_do_not_repeat_their_words(spark):
     assert plan.index("Generate") < plan.index("Window")
 
 
+def test_only_the_first_words_of_a_text_are_shuffled(spark, docs):
+    """Every different word of a font used to be shuffled and sorted for its first five."""
+    from dossier.operators import glyph_repair as gr
+
+    folder, con = docs([" ".join(f"a{(i * 7 + k) % 90:02d}" for i in range(60)) for k in range(30)] + ["", "x"])
+    assert same(spark, (folder, con), "font_samples") is None
+    few = gr.first_words(adapters.damaged(spark, folder), "lang", "damaged", 5)
+    assert few.count() == 30 * 5 and "Aggregate" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+
 WORD_SPLIT = "[\\s\\x1c-\\x1f]"
 
 
