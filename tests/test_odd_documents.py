@@ -88,6 +88,19 @@ def filters(df):
     return [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x.split("(")[0]]
 
 
+def test_letters_are_tried_without_work_on_arrays(spark, docs):
+    """Tokens were cut and cleaned in arrays, once for every glyph of their word, and tried even if no dictionary word has their signs."""
+    texts = ["b\u00e9a bat bet-hat. (cat)/toe ... -- a/b-c 'oat' x1a l'eau", "tea-tea\u2028toe ata\U0001f642a-eat \u0130ate", "", "bat cat eat hat oat toe tea"]
+    made = docs(texts, ("de", "fr"))
+    assert same(spark, made, "letter_scores") is None
+    assert "transform(" not in entry.queries()["letter_scores"](spark, made[0])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_short_words_are_left_out_of_the_dictionary(spark, docs):
+    texts = ["ab abc a'b a'-.x .. x.y.z'' --abc aBC d-e\u00e9fgh i\u00e9jkl 1abcd ab-1 \u212aat", "", "\n", "a"]
+    assert same(spark, docs(texts), "dictionary_words") is None
+
+
 def test_damaged_text_is_made_by_byte_searches(spark, docs):
     """A translate looked up every character of every text."""
     folder, _ = docs([*GLYPHS, "\ue001a\ue002 \U0001f642e"])
